@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
+    "op5_chat": chat.op5_chat,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op6_line_dedup": line_dedup.OP6_SQL}

@@ -1,0 +1,28 @@
+"""Connected components of an edge table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable) for edges(a, b) of longs.
+
+    Each round takes the smallest label among a node's neighbours, and then the
+    label of that label, so paths of labels halve. A hub's neighbours are
+    reduced by partial aggregation. Nodes without an edge don't appear.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    both = stored(both, "edges")
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("to"))
+        of = labels.select(F.col("node").alias("to"), F.col("component").alias("next"))
+        new = stored(low.join(of, "to", "left").select("node", F.least("to", F.coalesce("next", "to")).alias("component"), "before"), "labels")
+        if not new.where("component != before").limit(1).count():
+            return new.select("node", "component")
+        labels = new.select("node", "component")

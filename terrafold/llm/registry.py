@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality, set_join, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op5_chat": chat.op5_chat,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_set_join": set_join.op7_set_join,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality, set_join, warc
+from . import chat, exact_dedup, line_dedup, lm, mixing, packing, quality, set_join, warc
 
 QUERIES = {
     "op2_warc": warc.op2_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_set_join": set_join.op7_set_join,
+    "op8_lm": lm.op8_lm,
     "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
 }

@@ -69,21 +69,29 @@ def root_to_leaf_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """
     same = lambda a, b, x, y: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
     m = stored(messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "messages")
-    up = m.alias("a").join(m.alias("b"), same("a", "b", "parent_id", "msg_id"), "left").select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total"))
-    up = stored(up, "jump")
-    jumps = [up]
+    roots_and_up = m.alias("a").join(m.alias("b"), same("a", "b", "parent_id", "msg_id"))
+    # jumps[k]: messages with an ancestor 2 ** k above them, and the scores on the way to it
+    jumps = [stored(roots_and_up.select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total")), "jump")]
     most = m.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    while 2 ** len(jumps) <= most and jumps[-1].where("up is not null").limit(1).count():
+    while 2 ** len(jumps) <= most:
         a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        j = a.join(b, same("a", "b", "up", "msg_id"), "left")
-        jumps.append(stored(j.select("a.conv_id", "a.msg_id", "b.up", (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "jump"))
-    parents = up.where("up is not null").select("conv_id", F.col("up").alias("msg_id")).distinct().alias("p")
-    leaves = jumps[-1].where("up is null").alias("l").join(parents, same("l", "p", "msg_id", "msg_id"), "left_anti")
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "msg_id"))
-    chosen = leaves.select("conv_id", F.col("msg_id").alias("leaf_id"), F.col("total").alias("path_score"), rank.alias("path_rank")).where(F.col("path_rank") <= top)
+        higher = stored(a.join(b, same("a", "b", "up", "msg_id")).select("a.conv_id", "a.msg_id", "b.up", (F.col("a.total") + F.col("b.total")).alias("total")), "jump")
+        if not higher.limit(1).count():
+            break
+        jumps.append(higher)
+    parents = jumps[0].select("conv_id", F.col("up").alias("msg_id")).distinct().alias("p")
+    at = m.alias("l").join(parents, same("l", "p", "msg_id", "msg_id"), "left_anti").select("conv_id", F.col("msg_id").alias("leaf_id"), "msg_id", F.lit(0.0).alias("total"))
+    for jump in reversed(jumps):  # the longest jump that is left, then the next: each leaf arrives at its root
+        s, u = at.alias("s"), jump.alias("u")
+        at = s.join(u, same("s", "u", "msg_id", "msg_id"), "left").select("s.conv_id", "s.leaf_id", F.coalesce("u.up", "s.msg_id").alias("msg_id"), (F.col("s.total") + F.coalesce("u.total", F.lit(0.0))).alias("total"))
+    s, r = at.alias("s"), m.alias("r")
+    root = s.join(r, same("s", "r", "msg_id", "msg_id")).select("s.conv_id", "s.leaf_id", "s.msg_id", (F.col("s.total") + F.col("r.score")).alias("total")).alias("t")
+    leaves = root.join(jumps[0].alias("j"), same("t", "j", "msg_id", "msg_id"), "left_anti")  # what never arrives is on a cycle
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "leaf_id"))
+    chosen = leaves.select("conv_id", "leaf_id", F.col("total").alias("path_score"), rank.alias("path_rank")).where(F.col("path_rank") <= top)
     rows = stored(chosen.withColumn("msg_id", F.col("leaf_id")).withColumn("back", F.lit(0)), "paths")
     for k in reversed(range(len(jumps))):
-        s, u = rows.alias("s"), jumps[k].where("up is not null").alias("u")
+        s, u = rows.alias("s"), jumps[k].alias("u")
         more = s.join(u, same("s", "u", "msg_id", "msg_id")).select("s.conv_id", "s.leaf_id", "s.path_score", "s.path_rank", F.col("u.up").alias("msg_id"), (F.col("s.back") + 2**k).alias("back"))
         rows = stored(rows.unionByName(more), "paths")
     return rows.select("conv_id", "leaf_id", "path_rank", "path_score", "msg_id", "back")

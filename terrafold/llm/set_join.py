@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import fresh, stored, table
 from .components import connected_components
 from .shingles import common, fingerprints, pack, shingle_sets, unpack
 
 WORDS, THRESHOLD = 5, 80
 #: Documents hashed at once; hashes in a bucket, about; documents of a batch from which a hash is counted before it is sent.
-BATCH_DOCS, BUCKET_HASHES, HOT_IN_BATCH = 4_096, 500_000, 256
+BATCH_DOCS, BUCKET_HASHES, HOT_IN_BATCH = 2_048, 300_000, 128
 #: Members that are compared at once.
 PIECE = 256
 _IDX = 16
@@ -69,7 +69,7 @@ def _bytes(x: bytes) -> np.ndarray:
 
 
 def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """For each row of docs: node, doc_id, n, fp1, fp2 and, where its prefix holds shared hashes,
+    """For each row of docs: node, doc_id, key, n, fp1, fp2 and, where its prefix holds shared hashes,
     hashes (packed, all that it shares), prefix (packed) and alone (how many of its hashes stand before).
     """
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -87,6 +87,7 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                 values, counts = shingle_sets([t.encode() if t else b"" for t in f.text], words, bits)
                 fp1, fp2 = fingerprints(values, counts)
                 known = np.array([not pd.isna(x) for x in ids], bool)
+                keys = f.key.to_numpy(np.int64)
                 doc_ids = np.array([int(x) if ok else 0 for x, ok in zip(ids, known)], np.int64)
                 _, firsts = np.unique(np.stack([fp1, fp2]), axis=1, return_index=True)
                 speaks = np.zeros(len(f), bool)  # one of equal sets stands for the batch's others
@@ -112,7 +113,7 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                         for k, (t, o) in enumerate(zip(np.split(tok, cuts), np.split(what, cuts))):
                             if len(t):
                                 rows.append((k, number, _arrays(_bytes(kind.encode()), _bytes(pack(t)), o)))
-                rows.append((-1 - number, number, _arrays(_bytes(b"d"), doc_ids, known, counts, fp1, fp2, speaks)))
+                rows.append((-1 - number, number, _arrays(_bytes(b"d"), doc_ids, known, keys, counts, fp1, fp2)))
                 yield pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
                 number += 1
 
@@ -137,7 +138,7 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
         got = [_parts(bytes(b)) for b in g.blob]
-        doc_ids, known, counts, fp1, fp2, speaks = (np.frombuffer(x, t) for x, t in zip(next(p for p in got if p[0] == b"d")[1:], (np.int64, bool, np.int64, np.int64, np.int64, bool)))
+        doc_ids, known, keys, counts, fp1, fp2 = (np.frombuffer(x, t) for x, t in zip(next(p for p in got if p[0] == b"d")[1:], (np.int64, bool, np.int64, np.int64, np.int64, np.int64)))
         toks, own, dfs = [], [], []
         for p in got:
             if p[0] == b"P":
@@ -171,11 +172,11 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         node = (int(g.batch.iloc[0]) << _IDX) + np.arange(n_docs)
         ids = pd.array(np.where(known, doc_ids, 0), "Int64")
         ids[~known] = pd.NA
-        return pd.DataFrame({"node": node, "doc_id": ids, "n": counts, "fp1": fp1, "fp2": fp2, "hashes": hashes, "prefix": prefix, "alone": alone})
+        return pd.DataFrame({"node": node, "doc_id": ids, "key": keys, "n": counts, "fp1": fp1, "fp2": fp2, "hashes": hashes, "prefix": prefix, "alone": alone})
 
-    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(send, "bucket long, batch long, blob binary")
+    sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInPandas(send, "bucket long, batch long, blob binary")
     met = sent.groupBy("bucket").applyInPandas(meet, "batch long, blob binary")
-    return met.groupBy("batch").applyInPandas(gather, "node long, doc_id long, n long, fp1 long, fp2 long, hashes binary, prefix binary, alone long")
+    return met.groupBy("batch").applyInPandas(gather, "node long, doc_id long, key long, n long, fp1 long, fp2 long, hashes binary, prefix binary, alone long")
 
 
 def _band(n, threshold: int):
@@ -245,14 +246,10 @@ def _member_links(ambiguous: DataFrame, members: DataFrame, nodes: DataFrame, th
     return j.groupBy("a", "b", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def set_relation_join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; links are made at Jaccard >= threshold / 100.
+def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, key (xxhash64 of the text), n_shingles, component_id and group_id for each row of docs.
 
-    component_id is the smallest doc_id reachable. Null and empty texts, and
-    texts without words, have an empty set and link with nothing, so they are
-    their own components. A row with a null doc_id takes part in linking; its
-    component_id is null only where all of the component's ids are. Rows that
-    repeat get the same component. An empty table gives no rows.
+    group_id tells the components apart; it is null for empty sets.
     """
     rows = stored(_shared_hashes(docs, words, threshold), "sets")
     nodes = rows.where("prefix is not null")
@@ -317,9 +314,43 @@ def set_relation_join(docs: DataFrame, words: int = WORDS, threshold: int = THRE
     groups = connected_components(edges.union(copies.where("a != b")))
     in_group = classes.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("g", F.coalesce("component", "class"))
     lowest = in_group.groupBy("g").agg(F.min("low").alias("component_id"))
-    by_class = in_group.join(lowest, "g").select("fp1", "fp2", "component_id")
-    empty = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.join(by_class, ["fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    by_class = in_group.join(lowest, "g").select("fp1", "fp2", "component_id", "g")
+    empty = rows.where("n = 0").select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group_id"))
+    met = full.join(by_class, ["fp1", "fp2"]).select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", F.col("g").alias("group_id"))
+    return met.unionByName(empty)
+
+
+def set_relation_join(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; links are made at Jaccard >= threshold / 100.
+
+    component_id is the smallest doc_id reachable. Null and empty texts, and
+    texts without words, have an empty set and link with nothing, so they are
+    their own components. A row with a null doc_id takes part in linking; its
+    component_id is null only where all of the component's ids are. Rows that
+    repeat get the same component. An empty table gives no rows.
+    """
+    return set_relation_groups(docs, words, threshold).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
+    """docs with one row of each component: that with the smallest doc_id (null last), then text hash.
+
+    Rows with empty sets, linked with nothing, all stay.
+    """
+    groups = stored(set_relation_groups(docs, words, threshold).where("group_id is not null"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
+    first = groups.groupBy("group_id").agg(F.min(place).alias("first"))
+    losers = groups.join(first, "group_id").where(place != F.col("first")).select("doc_id", "key").distinct().alias("l")
+    key = fresh(docs, "text_hash")
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col(f"d.{key}") == F.col("l.key"))
+    kept = d.join(losers, same, "left_anti")
+    # what repeats wholly, id and text, has one winner
+    again = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").alias("l")
+    if not again.limit(1).count():
+        return kept.drop(key)
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(again, same, "left_anti").unionByName(once).drop(key)
 
 
 def op7_set_join(spark, sf_dir):

@@ -10,7 +10,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-_AT_ONCE = 4 << 20
+_AT_ONCE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

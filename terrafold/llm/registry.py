@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, line_dedup, lm, mixing, packing, quality, set_join, warc
+from . import chat, exact_dedup, images, line_dedup, lm, mixing, packing, quality, set_join, warc
 
 QUERIES = {
+    "op1_image_copies": images.op1_image_copies,
     "op2_warc": warc.op2_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,

@@ -283,8 +283,11 @@ def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = TH
     lists = e.union(own).groupBy("token", "leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(rest).alias("rest"))
     lists = lists.join(labels.withColumnRenamed("node", "leader"), "leader", "left").withColumn("label", F.coalesce("component", "leader")).drop("component")
     lists = stored(lists, "lists")
-    mixed = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    open_lists = lists.join(mixed, "token")
+    # lists with the same leaders are one list, known by a hash of its leaders: a pair in many lists meets in few
+    known = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("leader")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "leader")).alias("s2")).where("x != y")
+    open_lists = lists.join(known.select("token", "s1", "s2"), "token")
+    open_lists = open_lists.groupBy("s1", "s2", "leader", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
+    open_lists = stored(open_lists, "open-lists")
     t = F.lit(threshold)
     # a set of size m links with a set whose rest in this list is r only if r >= t m: the blocks visited end there
     reach = F.floor(F.least("hi", "rest") * 100 / t)
@@ -293,7 +296,7 @@ def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = TH
     held = open_lists.withColumn("block", F.explode(F.sequence(low, _band(F.col("hi"), threshold))))
     p, h = probe.alias("p"), held.alias("h")
     fits = (F.col("h.lo") * t <= F.col("p.hi") * 100) & (F.col("p.lo") * t <= F.col("h.hi") * 100) & (F.col("p.rest") * 100 >= F.col("h.lo") * t) & (F.col("h.rest") * 100 >= F.col("p.lo") * t)
-    met = p.join(h, ["token", "block"]).where((F.col("p.label") != F.col("h.label")) & fits)
+    met = p.join(h, ["s1", "s2", "block"]).where((F.col("p.label") != F.col("h.label")) & fits)
     met = met.select(F.least("p.leader", "h.leader").alias("a"), F.greatest("p.leader", "h.leader").alias("b")).distinct()
     among = stored(_verified(stored(met, "leader-pairs"), nodes, threshold, False), "leader-links")
     linked = among.where(links(F.col("inter"), F.col("na"), F.col("nb"), threshold)).select("a", "b")

@@ -23,24 +23,26 @@ from .common import stored, table
 # template, fixed values
 TURN_START = "### "
 TURN_END = "</turn>\n"
-_ESCAPED = re.compile(r"[\\#<]")
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*)</turn>\n", re.DOTALL)
+ESCAPED = "\\#<"
+_CODES = {"\\": "\\\\", "#": "\\h", "<": "\\l", ":": "\\c"}
+_CHARS = {v[1]: k for k, v in _CODES.items()}
+_TURN = re.compile(r"### ([^:]*): ([^<]*)</turn>\n")
 
 
-def escape(text: str) -> str:
-    """A backslash before each backslash, # and <: no control string is left."""
-    return _ESCAPED.sub(r"\\\g<0>", text)
+def escape(text: str, characters: str = ESCAPED) -> str:
+    """Backslash codes for the characters that control strings are made of, so none is left in the text."""
+    return re.sub(f"[{re.escape(characters)}]", lambda m: _CODES[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return re.sub(r"\\(.)", lambda m: _CHARS[m[1]], text)
 
 
 def format_turns(turns: list[tuple[str, str]], loss_role: str = "assistant") -> tuple[str, list[tuple[int, int]]]:
     """The conversation, and the spans (in code points) of the escaped texts that loss is taken on."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head, body = f"{TURN_START}{escape(role).replace(':', chr(92) + ':')}: ", escape(text)
+        head, body = f"{TURN_START}{escape(role, ESCAPED + ':')}: ", escape(text)
         if role == loss_role:
             spans.append((at + len(head), at + len(head) + len(body)))
         out.append(head + body + TURN_END)

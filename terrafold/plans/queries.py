@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.functions import columns as C
-from terrafold.operators import aggregates, evaluation, graph, pairs, progress, ranking, rules, spatial
+from terrafold.operators import aggregates, assembly, evaluation, fits, graph, pairs, progress, ranking, rules, spatial
 from terrafold.params import Acceptance, TierRule
+from terrafold.plans.reassembly import reassembly
 from terrafold.sources.views import CANDIDATES_SQL, FRAGMENTS_SQL, POINTS_SQL, candidates, fragments, points, table
 
 QUERIES: dict = {}
@@ -539,3 +540,75 @@ def hist_tv(spark, sf_dir):
     s = h.select("label", F.array(*[F.col(f"b{i}") / F.col("n") for i in range(64)]).alias("h"))
     x, y = s.alias("x"), s.alias("y")
     return rounded(x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("p"), F.col("y.label").alias("q"), C.array_variation("x.h", "y.h").alias("tv")), "tv")
+
+
+# greedy and numeric operators: no SQL, tests hold them against plain loops
+
+
+@query("nms_greedy")
+def nms_greedy(spark, sf_dir):
+    return rounded(assembly.suppress_near(candidates(spark, sf_dir).where("accepted"), 5.0, 500.0, 3), "score")
+
+
+@query("greedy_assembly")
+def greedy_assembly(spark, sf_dir):
+    best = ranking.best_per_pair(candidates(spark, sf_dir))
+    joins = best.join(ranking.top_partners(best, 2), ["a", "b"]).withColumn("shift", F.col("seam").cast("double"))
+    return assembly.assemble(joins, 5.0)
+
+
+@query("reassembly_plan")
+def reassembly_plan(spark, sf_dir):
+    v = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 100).alias("b"))
+    return rounded(reassembly(candidates(spark, sf_dir), v, TIER, 5.0), "score")
+
+
+@query("pca_axis")
+def pca_axis(spark, sf_dir):
+    return fits.principal_axes(points(spark, sf_dir), "frag")
+
+
+@query("sphere_fit")
+def sphere_fit(spark, sf_dir):
+    return fits.sphere_fit(points(spark, sf_dir), "frag")
+
+
+@query("icp_align")
+def icp_align(spark, sf_dir):
+    """Each fragment's points, turned by 4 degrees and moved a little, brought back to themselves."""
+    p = points(spark, sf_dir).select("frag", "vid", "x", "y", "z")
+    c, s = 0.9975640502598242, 0.0697564737441253  # cosine and sine of 4 degrees
+    moved = p.select("frag", "vid", (c * F.col("x") - s * F.col("y") + 0.004).alias("x"), (s * F.col("x") + c * F.col("y") - 0.003).alias("y"), (F.col("z") + 0.002).alias("z"))
+    return fits.icp(moved, p, 0.05, 3)
+
+
+@query(
+    "weighted_picks",
+    "SELECT count(*) AS n_draws, count(*) AS n_hit FROM orders",
+)
+def weighted_picks(spark, sf_dir):
+    draws = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw"), (F.pmod(F.xxhash64("o_orderkey"), F.lit(1 << 53)) / float(1 << 53)).alias("u"))
+    picks = progress.weighted_picks(table(spark, sf_dir, "part"), "p_partkey", "p_retailprice", draws)
+    n = draws.agg(F.count(F.lit(1)).alias("n_draws"))
+    return n.crossJoin(picks.agg(F.count(F.lit(1)).alias("n_hit")))
+
+
+@query(
+    "walk_order",
+    f"""WITH {CANDIDATES_SQL}, {_BEST}, f AS (SELECT DISTINCT 1 AS g, least(s_nationkey, s_suppkey) AS a, greatest(s_nationkey, s_suppkey) AS b FROM supplier)
+    SELECT a, b, g IS NOT NULL AS forced, round(score, 6) AS score FROM best LEFT JOIN f USING (a, b)""",
+)
+def walk_order(spark, sf_dir):
+    forced = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("a"), F.col("s_suppkey").alias("b"))
+    return rounded(rules.walk_order(ranking.best_per_pair(candidates(spark, sf_dir)), forced).select("a", "b", "forced", "score"), "score")
+
+
+@query(
+    "constraint_contradictions",
+    """WITH c AS (SELECT 'must_join' AS list, least(s_nationkey, s_suppkey) AS a, greatest(s_nationkey, s_suppkey) AS b FROM supplier UNION SELECT 'must_not_join', least(c_nationkey, c_custkey % 100), greatest(c_nationkey, c_custkey % 100) FROM customer)
+    SELECT a, b, string_agg(list, ',' ORDER BY list) AS lists FROM c GROUP BY 1, 2 HAVING count(DISTINCT list) > 1""",
+)
+def constraint_contradictions(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.lit("must_join").alias("list"), F.col("s_nationkey").cast("long").alias("a"), F.col("s_suppkey").alias("b"))
+    c = table(spark, sf_dir, "customer").select(F.lit("must_not_join").alias("list"), F.col("c_nationkey").cast("long").alias("a"), (F.col("c_custkey") % 100).alias("b"))
+    return rules.contradictions(s.unionByName(c)).select("a", "b", F.array_join("lists", ",").alias("lists"))

@@ -24,8 +24,8 @@ def _places(k: int) -> np.ndarray:
     return mixed(np.arange(1, k + 1, dtype=np.uint64) * _P) | np.uint64(1)
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of the texts in order, and the number of its text."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word (A-Z in lower case) of the texts in order, and the number of its text."""
     data = b"\n".join(texts).translate(_LOWER)
     b = np.frombuffer(data, np.uint8)
     space = np.ones(len(b) + 2, bool)
@@ -58,7 +58,7 @@ def shingle_sets(texts: list[bytes], k: int = 5, bits: int = 64) -> tuple[np.nda
         while j < len(texts) and (j == i or size + len(texts[j]) <= _AT_ONCE):
             size += len(texts[j])
             j += 1
-        words, owner = _word_hashes(texts[i:j])
+        words, owner = word_hashes(texts[i:j])
         per = np.bincount(owner, minlength=j - i)
         if len(words) >= k:
             n = len(words) - k + 1

@@ -289,13 +289,15 @@ def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = TH
     open_lists = open_lists.groupBy("s1", "s2", "leader", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
     open_lists = stored(open_lists, "open-lists")
     t = F.lit(threshold)
-    # a set of size m links with a set whose rest in this list is r only if r >= t m: the blocks visited end there
-    reach = F.floor(F.least("hi", "rest") * 100 / t)
+    # sets of sizes n <= m link only if the rest of either, from their first common hash on, reaches t / (1 + t) (n + m):
+    # the blocks that a leader visits end at the largest such m, and where that is under n, it visits none
+    reach = F.least(F.floor(F.col("hi") * 100 / t), F.floor(F.col("rest") * (100 + t) / t) - F.col("lo"))
     low = _band(F.col("lo"), threshold)
-    probe = open_lists.withColumn("block", F.explode(F.sequence(low, F.greatest(low, _band(F.greatest(reach, F.lit(1)), threshold)))))
+    probe = open_lists.withColumn("reach", reach).where("reach >= lo").withColumn("block", F.explode(F.sequence(low, _band(F.col("reach"), threshold)))).drop("reach")
     held = open_lists.withColumn("block", F.explode(F.sequence(low, _band(F.col("hi"), threshold))))
     p, h = probe.alias("p"), held.alias("h")
-    fits = (F.col("h.lo") * t <= F.col("p.hi") * 100) & (F.col("p.lo") * t <= F.col("h.hi") * 100) & (F.col("p.rest") * 100 >= F.col("h.lo") * t) & (F.col("h.rest") * 100 >= F.col("p.lo") * t)
+    enough = F.least("p.rest", "h.rest") * (100 + t) >= (F.col("p.lo") + F.col("h.lo")) * t
+    fits = (F.col("h.lo") * t <= F.col("p.hi") * 100) & (F.col("p.lo") * t <= F.col("h.hi") * 100) & enough
     met = p.join(h, ["s1", "s2", "block"]).where((F.col("p.label") != F.col("h.label")) & fits)
     met = met.select(F.least("p.leader", "h.leader").alias("a"), F.greatest("p.leader", "h.leader").alias("b")).distinct()
     among = stored(_verified(stored(met, "leader-pairs"), nodes, threshold, False), "leader-links")

@@ -8,10 +8,11 @@ corners that vote alike make a match.
 
 Images that are nearly the same as whole images form a class: in each list of
 every table the smallest image stands for the others, and an image is tied to
-the ones it meets in enough corners, in place. Connected images are a class,
-known by its smallest image, its leader. Only leaders are matched with queries,
-so a large group of copies costs a row for each copy; the result has leaders,
-and the number of images behind each.
+the ones it meets in enough corners, in place. It is compared as a whole with
+those, and with the smallest image that ties lead to; it follows one only if
+most corners of both agree. Queries are matched with the leaders and with what
+their followers have besides, so a large group of copies costs a row for each
+copy; the result has leaders, and the number of images behind each.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SIZE = 96
 TABLES, CHUNK_BITS = 8, 32
 #: Bits in which matching descriptors may differ, corners that have to agree, and for a follower.
 MAX_DISTANCE, MIN_INLIERS, MIN_SAME = 40, 3, 3
+#: Share of either image's corners that a follower and its leader have in common, and rounds in which leaders are chosen.
+SAME_SHARE, ROUNDS = 0.75, 3
 _STACK = 256
 #: Bits of a table are drawn from the whole descriptor.
 _ORDER = np.random.default_rng(3).permutation(TESTS)[: TABLES * CHUNK_BITS]
@@ -128,17 +131,69 @@ def local_descriptors(images: DataFrame) -> DataFrame:
 def _listed(descriptors: DataFrame, tables: int) -> DataFrame:
     """A row for each descriptor and table, keyed by table and chunk."""
     chunk = F.posexplode(F.slice("chunks", 1, tables)).alias("t", "chunk")
-    return descriptors.select("image_id", "corner", "x", "y", chunk).select("image_id", "corner", "x", "y", (F.shiftleft(F.col("t").cast("long"), CHUNK_BITS) + F.col("chunk")).alias("key"))
+    return descriptors.select("image_id", "corner", "x", "y", "scale", chunk).select("image_id", "corner", "x", "y", "scale", (F.shiftleft(F.col("t").cast("long"), CHUNK_BITS) + F.col("chunk")).alias("key"))
+
+
+def same_in_place(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[bool, np.ndarray]:
+    """Whether two images (x, y, scale and bits (n, words) of their corners) are nearly the same, and which corners of a b lacks.
+
+    Corners agree at one scale within 2 pixels and MAX_DISTANCE bits. SAME_SHARE
+    of either image's corners have to, and MIN_SAME of one scale, whose corners
+    are different points.
+    """
+    near = (np.abs(a[0][:, None] - b[0]) <= 2) & (np.abs(a[1][:, None] - b[1]) <= 2) & (a[2][:, None] == b[2])
+    near &= np.bitwise_count(a[3][:, None] ^ b[3][None]).sum(-1) <= MAX_DISTANCE
+    has, had = near.any(1), near.any(0)
+    most = np.unique(a[2][has], return_counts=True)[1].max(initial=0)
+    return bool(most >= MIN_SAME and has.mean() >= SAME_SHARE and had.mean() >= SAME_SHARE), ~has
+
+
+def verified(descriptors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """image_id, head, lacks (corners of the image that the head has not) for the pairs(image_id, head) that are nearly the same in place."""
+    words = [f"d{k}" for k in range(TESTS // 64)]
+    ids = pairs.select("image_id").union(pairs.select("head")).distinct()
+    packed = descriptors.join(ids, "image_id", "left_semi").groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("corner", "x", "y", "scale", *words))).alias("p"))
+    fields = ["corner", "x", "y", "scale", *words]
+    packed = stored(packed.select("image_id", *[F.col(f"p.{c}").alias(c) for c in fields]), "packed")
+    side = lambda key, p: packed.select(F.col("image_id").alias(key), *[F.col(c).alias(f"{p}{c}") for c in fields])
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                a, b = ((r[f"{p}x"], r[f"{p}y"], r[f"{p}scale"], np.stack([r[f"{p}{w}"] for w in words], 1)) for p in ("i_", "h_"))
+                same, lacks = same_in_place(a, b)
+                if same:
+                    out.append((r["image_id"], r["head"], r["i_corner"][lacks]))
+            yield pd.DataFrame(out, columns=["image_id", "head", "lacks"])
+
+    both = pairs.join(side("image_id", "i_"), "image_id").join(side("head", "h_"), "head")
+    return both.mapInPandas(compare, "image_id long, head long, lacks array<int>")
 
 
 def followers(descriptors: DataFrame) -> DataFrame:
-    """image_id, leader (smaller) for images whose class, of images nearly the same in place, has a leader before them."""
+    """image_id, leader (smaller), lacks: images that are nearly the same in place as their leader, each compared with it directly.
+
+    A leader follows no other image. An image that agrees only with followers is
+    compared no further: it leads itself.
+    """
     index = _listed(descriptors, TABLES)
     heads = index.groupBy("key").agg(F.min(F.struct("image_id", "x", "y")).alias("h"), F.max("image_id").alias("other")).where("h.image_id != other")
     met = index.join(heads.select("key", "h"), "key").where((F.col("image_id") != F.col("h.image_id")) & (F.abs(F.col("x") - F.col("h.x")) <= 2) & (F.abs(F.col("y") - F.col("h.y")) <= 2))
     tied = met.groupBy("image_id", F.col("h.image_id").alias("head")).agg(F.count_distinct("corner").alias("c")).where(F.col("c") >= MIN_SAME)
+    tied = stored(tied.select("image_id", "head"), "tied")
     classes = connected_components(tied.select(F.col("image_id").alias("a"), F.col("head").alias("b")))
-    return stored(classes.where("node != component").select(F.col("node").alias("image_id"), F.col("component").alias("leader")), "followers")
+    pairs = tied.union(classes.where("node != component").select("node", "component")).distinct()
+    left = stored(verified(descriptors, pairs), "verified")
+    found = None
+    for _ in range(ROUNDS):
+        lead = left.select(F.col("head")).distinct().join(left.select(F.col("image_id").alias("head")).distinct(), "head", "left_anti")
+        new = left.join(lead, "head").groupBy("image_id").agg(F.min(F.struct("head", "lacks")).alias("m")).select("image_id", F.col("m.head").alias("leader"), F.col("m.lacks").alias("lacks"))
+        new = stored(new, "followers")
+        found = new if found is None else found.unionByName(new)
+        gone = new.select("image_id")
+        left = stored(left.join(gone, "image_id", "left_anti").join(gone.withColumnRenamed("image_id", "head"), "head", "left_anti"), "verified")
+    return found
 
 
 def detect_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
@@ -152,11 +207,16 @@ def detect_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     d = stored(local_descriptors(images).dropDuplicates(["image_id", "corner"]), "descriptors")
     q = stored(local_descriptors(queries).dropDuplicates(["image_id", "corner"]), "query-descriptors")
     follow = followers(d)
-    lead = d.join(follow, "image_id", "left_anti")
-    met = _listed(q, TABLES).alias("q").join(_listed(lead, TABLES).alias("i"), "key")
-    met = met.select(F.col("q.image_id").alias("query_id"), F.col("q.corner").alias("qc"), F.col("i.image_id").alias("match_id"), F.col("i.corner").alias("ic")).distinct()
+    lead = d.join(follow, "image_id", "left_anti").withColumn("leader", F.col("image_id"))
+    more = d.join(follow.select("image_id", "leader", F.explode("lacks").alias("corner")), ["image_id", "corner"])
+    # of a leader's followers, one stands for those with the same chunk in the same place
+    cell = [F.floor(F.col(c) / 4).alias(f"{c}_cell") for c in ("x", "y")]
+    listed = _listed(more, TABLES).join(follow.select("image_id", "leader"), "image_id").groupBy("leader", "key", "scale", *cell).agg(F.min(F.struct("image_id", "corner")).alias("m"))
+    index = _listed(lead, TABLES).select("key", F.col("image_id").alias("leader"), "image_id", "corner").unionByName(listed.select("key", "leader", "m.image_id", "m.corner"))
+    met = _listed(q, TABLES).alias("q").join(index.alias("i"), "key")
+    met = met.select(F.col("q.image_id").alias("query_id"), F.col("q.corner").alias("qc"), F.col("i.leader").alias("match_id"), F.col("i.image_id").alias("of"), F.col("i.corner").alias("ic")).distinct()
     side = lambda df, a, b, p: df.select(F.col("image_id").alias(a), F.col("corner").alias(b), *[F.col(c).alias(f"{p}_{c}") for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")])
-    m = met.join(side(q, "query_id", "qc", "q"), ["query_id", "qc"]).join(side(lead, "match_id", "ic", "i"), ["match_id", "ic"])
+    m = met.join(side(q, "query_id", "qc", "q"), ["query_id", "qc"]).join(side(d, "of", "ic", "i"), ["of", "ic"])
     distance = sum((F.bit_count(F.col(f"q_d{k}").bitwiseXOR(F.col(f"i_d{k}"))) for k in range(1, 4)), F.bit_count(F.col("q_d0").bitwiseXOR(F.col("i_d0"))))
     m = m.where(distance <= MAX_DISTANCE)
     turn = F.col("q_angle") - F.col("i_angle")

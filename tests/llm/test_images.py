@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from terrafold.llm.features2d import MARGIN, TESTS, corners, describe, resampling
-from terrafold.llm.images import SIZE, detect_copies, edited, edited_copies, images_from_vectors, local_descriptors, rendered
+from terrafold.llm.images import SIZE, detect_copies, edited, edited_copies, followers, images_from_vectors, local_descriptors, rendered
 
 MEDIA = "image_id long, pixels binary, height int, width int"
 
@@ -64,3 +64,32 @@ def test_odd_media(spark):
     assert sorted((r["query_id"], r["match_id"]) for r in got) == [(1, None), (3, None)]
     assert detect_copies(df.limit(0), df.limit(0)).count() == 0
     assert edited(np.zeros((SIZE, SIZE), np.uint8), 3, 0).shape == (72, 72)
+
+
+def _media(images):
+    return [(i, x.tobytes(), SIZE, SIZE) for i, x in images.items()]
+
+
+def test_images_that_share_a_part_do_not_follow_each_other(spark, vectors):
+    """Half an image pasted into another: three corners agree, but not the whole; both halves are still found."""
+    a, b, c = rendered(vectors[:3])
+    ab, bc = np.hstack([a[:, :48], b[:, 48:]]), np.hstack([c[:, :48], b[:, 48:]])
+    df = spark.createDataFrame(_media({1: a, 2: ab, 3: bc, 4: c, 5: a}), MEDIA)
+    f = {r["image_id"]: r["leader"] for r in followers(local_descriptors(df)).collect()}
+    assert f == {5: 1}
+    q = spark.createDataFrame(_media({9: bc, 8: c}), MEDIA)
+    got = {(r["query_id"], r["match_id"]) for r in detect_copies(df, q).collect()}
+    assert {(9, 3), (8, 4)} <= got
+
+
+def test_what_only_a_follower_has_is_found(spark, vectors):
+    """Corners that a follower has and its leader lacks lead to the class."""
+    whole = rendered(vectors[6:7])[0]
+    cut, part = whole.copy(), whole.copy()
+    cut[:, 74:] = 128
+    part[:, :60] = 128
+    df = spark.createDataFrame(_media({1: cut, 2: whole}), MEDIA)
+    assert [(r["image_id"], r["leader"]) for r in followers(local_descriptors(df)).collect()] == [(2, 1)]
+    query = spark.createDataFrame(_media({7: part}), MEDIA)
+    assert [r["match_id"] for r in detect_copies(df.where("image_id = 1"), query).collect()] == [None]
+    assert [(r["match_id"], r["n_copies"]) for r in detect_copies(df, query).collect()] == [(1, 2)]

@@ -47,20 +47,27 @@ def component_areas(components: DataFrame, areas: DataFrame, least: float) -> Da
     return g.withColumn("kept", F.col("area") >= least)
 
 
-def support_counts(best: DataFrame) -> DataFrame:
+def support_counts(best: DataFrame, tol: float | None = None) -> DataFrame:
     """a, b, support: nodes x for which (a, x) and (x, b) are edges too.
 
+    With ``tol``, x counts only where the path over x places b within tol of
+    where the edge does (its shift, from a to b with a < b).
     Edges run from the smaller to the larger degree, so a hub is the middle of
     few paths; each triangle is found once and counts for its three edges.
     """
     deg = both_ends(best).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    e = best.select("a", "b").join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
+    shift = ["shift"] * (tol is not None)
+    e = best.select("a", "b", *shift).join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
     a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    d = e.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("v"))
+    d = e.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("v"), *shift)
     x, y = d.alias("x"), d.alias("y")
-    wedge = x.join(y, F.col("x.u") == F.col("y.u")).where(F.col("x.v") < F.col("y.v")).select(F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("y.v").alias("w"))
-    closing = best.select(F.col("a").alias("v"), F.col("b").alias("w"))
+    wedge = x.join(y, F.col("x.u") == F.col("y.u")).where(F.col("x.v") < F.col("y.v")).select(F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("y.v").alias("w"), *[F.col(f"{p}.shift").alias(f"u{q}") for p, q in (("x", "v"), ("y", "w")) for _ in shift])
+    closing = best.select(F.col("a").alias("v"), F.col("b").alias("w"), *[F.col(c).alias("vw") for c in shift])
     t = wedge.join(closing, ["v", "w"])
+    if tol is not None:
+        # from u to v, on to w and back again; an edge is walked backwards where its first node is the larger
+        way = lambda p, q: F.when(F.col(p) < F.col(q), F.col(f"{p}{q}")).otherwise(-F.col(f"{p}{q}"))
+        t = t.where(F.abs(way("u", "v") + F.col("vw") - way("u", "w")) <= tol)
     pair = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
     counted = t.select(F.explode(F.array(pair("u", "v"), pair("u", "w"), pair("v", "w"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("support"))
     return best.select("a", "b").join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("support", F.lit(0)).alias("support"))

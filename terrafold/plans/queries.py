@@ -552,8 +552,7 @@ def nms_greedy(spark, sf_dir):
 
 @query("greedy_assembly")
 def greedy_assembly(spark, sf_dir):
-    best = ranking.best_per_pair(candidates(spark, sf_dir))
-    joins = best.join(ranking.top_partners(best, 2), ["a", "b"]).withColumn("shift", F.col("seam").cast("double"))
+    joins = ranking.best_per_pair(candidates(spark, sf_dir)).withColumn("shift", F.col("seam").cast("double"))
     return assembly.assemble(joins, 5.0)
 
 

@@ -10,16 +10,19 @@ from terrafold.operators.graph import written
 from terrafold.params import TierRule
 
 
-def classified_joins(cand: DataFrame, rule: TierRule, partners: int = 2, far: float = 5.0) -> DataFrame:
-    """Each pair's best accepted candidate with support, margin, failed and tier."""
+def classified_joins(cand: DataFrame, rule: TierRule, tol: float, far: float = 5.0) -> DataFrame:
+    """Each pair's best accepted candidate with support, margin, failed and tier.
+
+    All pairs' best candidates count as support, where their seams place b within tol.
+    """
     best = written(ranking.best_per_pair(cand))
-    support = graph.support_counts(ranking.top_partners(best, partners))
+    support = graph.support_counts(best.withColumn("shift", F.col("seam").cast("double")), tol)
     margin = ranking.rival_margin(cand, far).select("a", "b", "margin")
     return rules.classify(best.join(support, ["a", "b"], "left").join(margin, ["a", "b"], "left"), rule)
 
 
 def reassembly(cand: DataFrame, vetoes: DataFrame, rule: TierRule, tol: float) -> DataFrame:
     """a, b, tier, status, reason, grp: confirmed joins without vetoed ones, grown into groups."""
-    joins = written(rules.without_vetoed(classified_joins(cand, rule).where("tier = 'confirmed'"), vetoes))
+    joins = written(rules.without_vetoed(classified_joins(cand, rule, tol).where("tier = 'confirmed'"), vetoes))
     placed = assembly.assemble(joins.withColumn("shift", F.col("seam").cast("double")), tol)
     return placed.join(joins.select("a", "b", "tier", "score"), ["a", "b"])

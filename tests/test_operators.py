@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import columns as C
 from terrafold.operators import aggregates, assembly, evaluation, fits, graph, mesh, progress, rules, spatial
-from terrafold.params import Acceptance
+from terrafold.params import Acceptance, TierRule
+from terrafold.plans.queries import QUERIES
+from terrafold.plans.reassembly import classified_joins
 from terrafold.sources.mesh import find_meshes, read_meshes, write_obj
+from terrafold.sources.views import candidates
 from terrafold.streaming import progress as stream
 
+from .conftest import SF
+
 
 def test_pair_scales_of_a_known_pair(spark):
     """Wall 30.128 and resolution 2.278: each scale is the larger of its two multiples."""
@@ -201,3 +206,21 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("SELECT * FROM rates").collect()))
     want = sorted(map(tuple, e.groupBy(F.window("ts", "6 hours").start.alias("start"), "event_type").count().collect()))
     assert got == want
+
+
+def test_support_counts_every_partner_that_agrees(spark):
+    """Against a loop over all third nodes; most nodes have far more than two partners."""
+    rng = random.Random(4)
+    seam = {(a, b): rng.randint(5, 20) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.8}
+    rows = [(a, b, 1000.0 + i, True, float(s), 0.5, 0.01, (i,)) for i, ((a, b), s) in enumerate(seam.items())]
+    cand = spark.createDataFrame(rows, "a long, b long, score double, accepted boolean, seam double, tight double, gap double, ord struct<i: long>")
+    leg = lambda p, q: seam.get((p, q), -seam[q, p] if (q, p) in seam else None)
+    want = {(a, b): sum(x not in (a, b) and None not in (leg(a, x), leg(x, b)) and abs(leg(a, x) + leg(x, b) - s) <= 4 for x in range(12)) for (a, b), s in seam.items()}
+    got = classified_joins(cand, TierRule(), 4.0).collect()
+    assert {(r["a"], r["b"]): r["support"] for r in got} == want and len(set(want.values())) > 2
+    assert all((r["tier"] == "confirmed") == (want[r["a"], r["b"]] > 0) for r in got)
+
+
+def test_assembly_walks_every_pair(spark):
+    pairs = candidates(spark, SF).where("accepted").select("a", "b").distinct().count()
+    assert QUERIES["greedy_assembly"](spark, SF).count() == pairs

@@ -12,7 +12,7 @@ the ones it meets in enough corners, in place. It is compared as a whole with
 those, and with the smallest image that ties lead to; it follows one only if
 most corners of both agree. Queries are matched with the leaders and with what
 their followers have besides, so a large group of copies costs a row for each
-copy; the result has leaders, and the number of images behind each.
+copy; the result has leaders, and the leader of each image beside.
 """
 
 from __future__ import annotations
@@ -197,12 +197,20 @@ def followers(descriptors: DataFrame) -> DataFrame:
 
 
 def detect_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
+    """The matches of copies_and_members()."""
+    return copies_and_members(images, queries)[0]
+
+
+def copies_and_members(images: DataFrame, queries: DataFrame, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """query_id, match_id, n_copies, inliers, rotation, scale, centre_x, centre_y: a row for each query and leader that match.
 
     match_id is a leader, and n_copies counts it and its followers. rotation (in
     degrees) and scale lead from the image to the query; centre is where the
     image's centre lies, from the query's centre. A query without a match has
     one row of nulls. Images with equal ids count as one image.
+
+    And image_id, leader: a row for each image, which may be its own leader. ids
+    has the images' ids, where those cost less than the images.
     """
     d = stored(local_descriptors(images).dropDuplicates(["image_id", "corner"]), "descriptors")
     q = stored(local_descriptors(queries).dropDuplicates(["image_id", "corner"]), "query-descriptors")
@@ -233,12 +241,19 @@ def detect_copies(images: DataFrame, queries: DataFrame) -> DataFrame:
     best = bins.where(F.col("inliers") >= MIN_INLIERS).groupBy("query_id", "match_id").agg(F.max(F.struct("inliers", F.round(F.degrees("turn"), 1).alias("rotation"), "scale", F.round("cx", 1).alias("cx"), F.round("cy", 1).alias("cy"))).alias("b"))
     behind = follow.groupBy(F.col("leader").alias("match_id")).agg(F.count(F.lit(1)).alias("n"))
     best = best.join(behind, "match_id", "left").select("query_id", "match_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_copies"), F.col("b.inliers").alias("inliers"), F.col("b.rotation").alias("rotation"), F.col("b.scale").alias("scale"), F.col("b.cx").alias("centre_x"), F.col("b.cy").alias("centre_y"))
-    return queries.select(F.col("image_id").alias("query_id")).distinct().join(best, "query_id", "left")
+    members = (images if ids is None else ids).where("image_id is not null").select("image_id").distinct().join(follow.select("image_id", "leader"), "image_id", "left").select("image_id", F.coalesce("leader", "image_id").alias("leader"))
+    return queries.select(F.col("image_id").alias("query_id")).distinct().join(best, "query_id", "left"), members
 
 
 def op1_image_copies(spark, sf_dir):
-    """Edited copies of the images with an id divisible by 50, against all images; source_id is where a query's own source went."""
+    """Edited copies of the images with an id divisible by 50, against all images.
+
+    A match has its query_id, and source_id, the leader of the query's own
+    source. A row without query_id is membership: member_id is an image, match_id its leader.
+    """
     rows = table(spark, sf_dir, "embeddings")
     images = images_from_vectors(rows)
     queries = edited_copies(images_from_vectors(rows.where("vec_id % 50 = 0")))
-    return detect_copies(images, queries)
+    matches, members = copies_and_members(images, queries, rows.select(F.col("vec_id").cast("long").alias("image_id")))
+    sources = members.select(F.col("image_id").alias("query_id"), F.col("leader").alias("source_id"))
+    return matches.join(sources, "query_id", "left").unionByName(members.select(F.col("leader").alias("match_id"), F.col("image_id").alias("member_id")), allowMissingColumns=True)

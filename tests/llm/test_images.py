@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from terrafold.llm.features2d import MARGIN, TESTS, corners, describe, resampling
-from terrafold.llm.images import SIZE, detect_copies, edited, edited_copies, followers, images_from_vectors, local_descriptors, rendered
+from terrafold.llm.images import SIZE, detect_copies, edited, edited_copies, followers, images_from_vectors, local_descriptors, op1_image_copies, rendered
 
 MEDIA = "image_id long, pixels binary, height int, width int"
 
@@ -93,3 +93,12 @@ def test_what_only_a_follower_has_is_found(spark, vectors):
     query = spark.createDataFrame(_media({7: part}), MEDIA)
     assert [r["match_id"] for r in detect_copies(df.where("image_id = 1"), query).collect()] == [None]
     assert [(r["match_id"], r["n_copies"]) for r in detect_copies(df, query).collect()] == [(1, 2)]
+
+
+def test_every_image_has_its_leader_and_every_query_its_source(spark, vectors, tmp_path):
+    rows = [(i * 50, v.tolist()) for i, v in enumerate(vectors[:6])] + [(3, vectors[1].tolist()), (7, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = op1_image_copies(spark, str(tmp_path)).collect()
+    members = {r["member_id"]: r["match_id"] for r in got if r["query_id"] is None}
+    assert members == {i: 3 if i == 50 else i for i, _ in rows} and sum(r["query_id"] is None for r in got) == len(rows)
+    assert {r["query_id"]: r["source_id"] for r in got if r["query_id"] is not None} == {i * 50: 3 if i == 1 else i * 50 for i in range(6)}

@@ -9,11 +9,15 @@
 3. Relations between sets: in each index list and band of sizes one set stands
    for the others; each set is verified against the one it meets most often. If
    they link, that set is its leader, and the two differences are kept.
-4. Index lists hold leaders only, in blocks of sizes; a leader visits just those
-   blocks that its position in the list leaves possible, and just leaders that
-   are not yet in its component. A pair of leaders is intersected once. What
-   their members share follows from the intersection and the differences: most
-   members are decided by bounds, others by intersecting the differences alone.
+4. Index lists hold leaders only. While lists hold many pairs of leaders of
+   different components, each leader meets one head of each of its lists, and
+   components grow: a group of near copies becomes one component in a few rounds,
+   each linear in the lists.
+5. Then, in blocks of sizes, a leader visits just those blocks that its position
+   in the list leaves possible, and just leaders that are not yet in its
+   component. A pair of leaders is intersected once. What their members share
+   follows from the intersection and the differences: most members are decided
+   by bounds, others by intersecting the differences alone.
 
 Equal sets, within 2^-20 or less for each hash, are one class and never paired.
 All links between different sets count towards the components.
@@ -27,16 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, stored, table
 from .components import connected_components
-from .shingles import common, fingerprints, pack, shingle_sets, unpack
+from .shingles import common, fingerprints, joined_arrays, pack, parts_of, shingle_sets, unpack
 
 WORDS, THRESHOLD = 5, 80
 #: Documents hashed at once; hashes in a bucket, about; documents of a batch from which a hash is counted before it is sent.
-BATCH_DOCS, BUCKET_HASHES, HOT_IN_BATCH = 2_048, 300_000, 128
+BATCH_DOCS, BUCKET_HASHES, HOT_IN_BATCH = 2_048, 300_000, 2
+#: Rounds of heads go on while lists hold more open pairs than this many times their entries, and each round halves them.
+OPEN_PAIRS = 16
 #: Members that are compared at once.
 PIECE = 256
 _IDX = 16
@@ -50,20 +56,6 @@ def links(inter, a, b, threshold: int):
     return 100 * inter >= threshold * (a + b - inter)
 
 
-def _arrays(*parts: np.ndarray) -> bytes:
-    """Arrays one behind another, each with its length."""
-    return b"".join(len(p := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + p for a in parts)
-
-
-def _parts(blob: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(blob):
-        n = int.from_bytes(blob[at : at + 8], "little")
-        out.append(blob[at + 8 : at + 8 + n])
-        at += 8 + n
-    return out
-
-
 def _bytes(x: bytes) -> np.ndarray:
     return np.frombuffer(x, np.uint8)
 
@@ -107,20 +99,20 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
                     parts = [("p", tokens[~hot], owner[~hot])]
                     if pick.any():
                         parts.append(("c", tokens[new[pick]], run[pick].astype(np.uint16)))
-                        rows.append((-1 - number, number, _arrays(_bytes(b"h"), _bytes(pack(tokens[hot])), owner[hot])))
+                        rows.append((-1 - number, number, joined_arrays(_bytes(b"h"), _bytes(pack(tokens[hot])), owner[hot])))
                     for kind, tok, what in parts:
                         cuts = np.searchsorted(tok, np.arange(1, buckets, dtype=np.uint64) * np.uint64(width))
                         for k, (t, o) in enumerate(zip(np.split(tok, cuts), np.split(what, cuts))):
                             if len(t):
-                                rows.append((k, number, _arrays(_bytes(kind.encode()), _bytes(pack(t)), o)))
-                rows.append((-1 - number, number, _arrays(_bytes(b"d"), doc_ids, known, keys, counts, fp1, fp2)))
+                                rows.append((k, number, joined_arrays(_bytes(kind.encode()), _bytes(pack(t)), o)))
+                rows.append((-1 - number, number, joined_arrays(_bytes(b"d"), doc_ids, known, keys, counts, fp1, fp2)))
                 yield pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
                 number += 1
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
         if g.bucket.iloc[0] < 0:  # what a batch tells itself
             return g[["batch", "blob"]]
-        got = [_parts(bytes(b)) for b in g.blob]
+        got = [parts_of(bytes(b)) for b in g.blob]
         toks = [unpack(p[1]) for p in got]
         nums = [np.frombuffer(p[2], np.uint16).astype(np.int64) for p in got]
         weight = [n if p[0] == b"c" else np.ones(len(n), np.int64) for p, n in zip(got, nums)]
@@ -133,11 +125,11 @@ def _shared_hashes(docs: DataFrame, words: int, threshold: int) -> DataFrame:
             keep = d > 1
             if keep.any():
                 what = _bytes(b"C") if p[0] == b"c" else _bytes(b"P")
-                rows.append((batch, _arrays(what, _bytes(pack(t[keep])), n[keep].astype(np.uint16), d[keep].astype(np.uint32))))
+                rows.append((batch, joined_arrays(what, _bytes(pack(t[keep])), n[keep].astype(np.uint16), d[keep].astype(np.uint32))))
         return pd.DataFrame(rows, columns=["batch", "blob"])
 
     def gather(g: pd.DataFrame) -> pd.DataFrame:
-        got = [_parts(bytes(b)) for b in g.blob]
+        got = [parts_of(bytes(b)) for b in g.blob]
         doc_ids, known, keys, counts, fp1, fp2 = (np.frombuffer(x, t) for x, t in zip(next(p for p in got if p[0] == b"d")[1:], (np.int64, bool, np.int64, np.int64, np.int64, np.int64)))
         toks, own, dfs = [], [], []
         for p in got:
@@ -246,6 +238,60 @@ def _member_links(ambiguous: DataFrame, members: DataFrame, nodes: DataFrame, th
     return j.groupBy("a", "b", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _fits(p: str, h: str, threshold: int) -> Column:
+    """Whether the sizes, and the rests from the common hash on, of two entries leave a link possible."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    enough = F.least(c(p, "rest"), c(h, "rest")) * (100 + threshold) >= (c(p, "lo") + c(h, "lo")) * threshold
+    return (c(h, "lo") * threshold <= c(p, "hi") * 100) & (c(p, "lo") * threshold <= c(h, "hi") * 100) & enough
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels.withColumnRenamed("node", "leader"), "leader", "left").withColumn("label", F.coalesce("component", "leader")).drop("component")
+
+
+def _merged(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """The lists that hold several components, after rounds in which leaders meet heads; the labels then; links found; pairs tested (None without a round).
+
+    In a round every list has one head for each band of sizes, another one in
+    each round, and every leader of another component meets it. Rounds end when
+    few pairs are open, or a round leaves more than half of them.
+    """
+    # lists with the same leaders are one list, known by a hash of its leaders: a pair in many lists meets in few
+    named = _labelled(lists, labels)
+    known = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("leader")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "leader")).alias("s2")).where("x != y")
+    left = named.join(known.select("token", "s1", "s2"), "token").groupBy("s1", "s2", "leader").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
+    open_lists = stored(_labelled(left, labels), "open-lists")
+    edges = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).limit(0)
+    tested, number, before = None, 0, math.inf
+    while True:
+        sizes = open_lists.groupBy("s1", "s2", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("s1", "s2").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("within"))
+        most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("within")) / 2, F.lit(0.0))).first()
+        if most[1] <= OPEN_PAIRS * most[0] or most[1] > before / 2:
+            return open_lists, labels, edges, tested
+        before = most[1]
+        band = open_lists.withColumn("band", _band(F.col("lo"), threshold))
+        heads = band.groupBy("s1", "s2", "band").agg(F.min_by(F.struct("leader", "label", "lo", "hi", "rest"), F.xxhash64(F.lit(number), "leader")).alias("h"))
+        met = band.alias("p").join(heads, ["s1", "s2", "band"]).where((F.col("p.label") != F.col("h.label")) & _fits("p", "h", threshold))
+        met = met.select(F.least("p.leader", "h.leader").alias("a"), F.greatest("p.leader", "h.leader").alias("b")).distinct()
+        if tested is not None:
+            met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        new = stored(_verified(met, nodes, threshold, False), "head-links")
+        tested = new if tested is None else tested.unionByName(new)
+        found = stored(new.where(links(F.col("inter"), F.col("na"), F.col("nb"), threshold)).select("a", "b"), "heads-linked")
+        edges = edges.union(found)
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+        between = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = connected_components(between)
+        # every node of found gets a label, and every label the one that it became
+        all_labels = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        labels = stored(all_labels.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+        again = _labelled(open_lists.drop("label"), labels)
+        mixed = again.groupBy("s1", "s2").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("s1", "s2")
+        open_lists = stored(again.join(mixed, ["s1", "s2"]), "open-lists")
+        number += 1
+
+
 def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, key (xxhash64 of the text), n_shingles, component_id and group_id for each row of docs.
 
@@ -280,28 +326,28 @@ def set_relation_groups(docs: DataFrame, words: int = WORDS, threshold: int = TH
     e = index.join(by_member, "node", "left").select("token", F.coalesce("leader", "node").alias("leader"), "n", "pos")
     own = index.join(by_member.select(F.col("leader").alias("node")).distinct(), "node").select("token", F.col("node").alias("leader"), "n", "pos")
     rest = F.col("n") - F.col("pos")
-    lists = e.union(own).groupBy("token", "leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(rest).alias("rest"))
-    lists = lists.join(labels.withColumnRenamed("node", "leader"), "leader", "left").withColumn("label", F.coalesce("component", "leader")).drop("component")
-    lists = stored(lists, "lists")
-    # lists with the same leaders are one list, known by a hash of its leaders: a pair in many lists meets in few
-    known = lists.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("leader")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(1), "leader")).alias("s2")).where("x != y")
-    open_lists = lists.join(known.select("token", "s1", "s2"), "token")
-    open_lists = open_lists.groupBy("s1", "s2", "leader", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
-    open_lists = stored(open_lists, "open-lists")
+    lists = stored(e.union(own).groupBy("token", "leader").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(rest).alias("rest")), "lists")
+    open_lists, labels, heads_linked, tested = _merged(lists, labels, nodes, threshold)
+    # 5. pairs of leaders
     t = F.lit(threshold)
-    # sets of sizes n <= m link only if the rest of either, from their first common hash on, reaches t / (1 + t) (n + m):
-    # the blocks that a leader visits end at the largest such m, and where that is under n, it visits none
+    # of two leaders, that with the smaller sets visits the other in the block of the other's smallest set. Sets of sizes
+    # n and m link only if the rest of either, from their first common hash on, reaches t / (1 + t) (n + m): the blocks
+    # that a leader visits end at the largest such m, and where that is under n, it visits none
     reach = F.least(F.floor(F.col("hi") * 100 / t), F.floor(F.col("rest") * (100 + t) / t) - F.col("lo"))
     low = _band(F.col("lo"), threshold)
     probe = open_lists.withColumn("reach", reach).where("reach >= lo").withColumn("block", F.explode(F.sequence(low, _band(F.col("reach"), threshold)))).drop("reach")
-    held = open_lists.withColumn("block", F.explode(F.sequence(low, _band(F.col("hi"), threshold))))
-    p, h = probe.alias("p"), held.alias("h")
-    enough = F.least("p.rest", "h.rest") * (100 + t) >= (F.col("p.lo") + F.col("h.lo")) * t
-    fits = (F.col("h.lo") * t <= F.col("p.hi") * 100) & (F.col("p.lo") * t <= F.col("h.hi") * 100) & enough
-    met = p.join(h, ["s1", "s2", "block"]).where((F.col("p.label") != F.col("h.label")) & fits)
+    p, h = probe.alias("p"), open_lists.withColumn("block", low).alias("h")
+    once = F.struct("p.lo", "p.leader") < F.struct("h.lo", "h.leader")
+    met = p.join(h, ["s1", "s2", "block"]).where((F.col("p.label") != F.col("h.label")) & once & _fits("p", "h", threshold))
     met = met.select(F.least("p.leader", "h.leader").alias("a"), F.greatest("p.leader", "h.leader").alias("b")).distinct()
+    if tested is not None:
+        met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     among = stored(_verified(stored(met, "leader-pairs"), nodes, threshold, False), "leader-links")
-    linked = among.where(links(F.col("inter"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    if tested is not None:
+        # pairs that rounds have tested and left in different components: their members may still link
+        far = tested.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        among = among.unionByName(far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*among.columns))
+    linked = among.where(links(F.col("inter"), F.col("na"), F.col("nb"), threshold)).select("a", "b").union(heads_linked)
     # members: what they may share beyond their leaders is bounded by the differences
     unsure = among.where(~links(F.col("inter"), F.col("na"), F.col("nb"), threshold))
     wide = near.groupBy("b").agg(F.max(F.col("na") - F.col("inter")).alias("plus"), F.min("na").alias("lo"))
@@ -340,7 +386,8 @@ def set_relation_join(docs: DataFrame, words: int = WORDS, threshold: int = THRE
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one row of each component: that with the smallest doc_id (null last), then text hash.
 
-    Rows with empty sets, linked with nothing, all stay.
+    Rows with empty sets, linked with nothing, all stay. Of rows that repeat
+    doc_id and text, that with the smallest hash of all its columns stays.
     """
     groups = stored(set_relation_groups(docs, words, threshold).where("group_id is not null"), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "key")
@@ -354,7 +401,9 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, threshold: int = THRES
     again = groups.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").alias("l")
     if not again.limit(1).count():
         return kept.drop(key)
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
+    columns = [F.col(f"`{c}`") for c in kept.columns]
+    once = kept.join(again, same, "left_semi").groupBy("doc_id", key).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("m"))
+    once = once.select(*[F.col(f"m.`{c}`") for c in kept.columns])
     return kept.join(again, same, "left_anti").unionByName(once).drop(key)
 
 

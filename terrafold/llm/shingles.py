@@ -106,6 +106,20 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def joined_arrays(*parts: np.ndarray) -> bytes:
+    """Arrays one behind another, each with its length."""
+    return b"".join(len(p := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + p for a in parts)
+
+
+def parts_of(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        out.append(blob[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted arrays without repeats."""
     if len(a) > len(b):

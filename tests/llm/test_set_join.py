@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.llm import set_join
 from terrafold.llm.components import connected_components
@@ -48,9 +49,10 @@ def family(rng):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize("seed,rounds", [(1, 16), (2, 0)])
+def test_against_brute_force(spark, seed, rounds, monkeypatch):
     monkeypatch.setattr(set_join, "HOT_IN_BATCH", 8)
+    monkeypatch.setattr(set_join, "OPEN_PAIRS", rounds)
     rows = family(random.Random(seed))
     got = set_relation_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = components(dict(rows))
@@ -77,6 +79,13 @@ def test_one_of_each_stays(spark):
     assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(map(str, [1, 4, 5, 6, 7, 9, 11, 12, 14, None]))
 
 
+def test_of_equal_texts_one_row_stays_whatever_the_partitions(spark):
+    rows = [(1, "a b c d e f", "en", str(i), i) for i in range(8)] + [(2, "a b c d e f", "en", "z", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = [keep_one_of_each(x.withColumn("a.b", F.lit(1))).collect() for x in (df, df.repartition(5))]
+    assert len(got[0]) == 1 and got[0] == got[1] and got[0][0]["doc_id"] == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -1,8 +1,9 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from terrafold.llm import mixing
 from terrafold.llm.mixing import mix_documents, mixing_plan, sainte_lague, source_targets
 
 from .helpers import DOCS, doc_rows, words
@@ -86,6 +87,75 @@ def test_mixed_texts_have_the_words_of_the_plan(spark):
     assert {k: v for k, v in taken.items() if v} == dict(got)
 
 
+def brute_force_taken(rows, plan, page=128):
+    """taken by row, for sources of one shard: documents in a line by hash, pages by seeded hash until the quota is full."""
+    hashes = {r["doc_id"]: r["text_hash"] for r in plan}
+    size = {r["doc_id"]: r["size"] for r in plan}
+    by = defaultdict(list)
+    for i, _, _, s, _ in rows:
+        by[s].append(i)
+    order = sorted((s for s in by if s is not None)) + [None] * (None in by)
+    targets = water([sum(size[i] for i in by[s]) for s in order])
+    quotas = seats_one_by_one(targets, round(sum(targets)))
+    return order, by, size, {s: sorted(by[s], key=lambda i: (hashes[i], i)) for s in order}, dict(zip(order, quotas))
+
+
+def test_taken_against_brute_force(spark):
+    rows = corpus()
+    plan = mixing_plan(spark.createDataFrame(rows, DOCS), shard_words=10**6, page_words=16).collect()
+    order, by, size, line, quota = brute_force_taken(rows, plan)
+    keys = [(rank, i) for rank, s in enumerate(order, 1) for i in range(-(-sum(size[d] for d in by[s]) // 16))]
+    df = spark.createDataFrame(keys, "rank int, i int")
+    pages = defaultdict(list)
+    for r in df.select("rank", "i", F.xxhash64(F.lit(7), "rank", F.lit(0).cast("long"), "i").alias("h")).collect():
+        pages[order[r["rank"] - 1]].append((r["h"], r["i"]))
+    want = {}
+    for s in order:
+        tape = [d for d in line[s] for _ in range(size[d])]
+        rounds, rest = divmod(quota[s], len(tape))
+        got = Counter({d: rounds * size[d] for d in by[s]})
+        for _, i in sorted(pages[s]):
+            page = tape[i * 16 : i * 16 + 16][:rest]
+            rest -= len(page)
+            got.update(page)
+        want |= got
+    assert {r["doc_id"]: r["taken"] for r in plan} == want
+
+
+def test_small_sources_come_within_a_word(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(6 + i % 9)), "en", f"s{i:05d}", 0) for i in range(2000)]
+    rows += [(5000 + i, " ".join(f"b{j}" for j in range(300)), "en", "big", 0) for i in range(200)]
+    taken, target = defaultdict(int), {}
+    for r, source in ((r, "big" if r["doc_id"] >= 5000 else r["doc_id"]) for r in mixing_plan(spark.createDataFrame(rows, DOCS)).collect()):
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    assert max(abs(taken[s] - target[s]) for s in target) <= 1
+
+
+def test_shards_in_groups(spark, monkeypatch):
+    """Many shards of one source, with empty texts among them; shards are bounded by rows too."""
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 11)), "en", "only" if i % 3 else "other", 0) for i in range(600)]
+    got = mixing_plan(spark.createDataFrame(rows, DOCS), shard_words=10**6, shard_rows=20, page_words=8).collect()
+    for parity in (True, False):
+        part = [r for r in got if bool(r["doc_id"] % 3) == parity]
+        assert abs(sum(r["taken"] for r in part) - part[0]["target"]) <= 1
+        assert all(r["taken"] == sum(x["n"] for x in r["pieces"]) + (r["taken"] - sum(x["n"] for x in r["pieces"])) // max(1, r["size"]) * r["size"] for r in part)
+
+
+def test_repeated_rows_and_odd_names(spark):
+    rows = [(1, "a b c d e f g h", "en", "s", 3)] * 3 + [(2, "x y z", "de", "s", 0), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("a.b", F.lit(1)).withColumn("nth", F.lit(2)).withColumn("TEXT_HASH", F.lit(3))
+    plan = mixing_plan(df, page_words=2)
+    out = mix_documents(df, page_words=2)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mix_documents(df.repartition(5), page_words=2).collect()))
+    want = sum(r["taken"] for r in plan.collect())
+    assert sum(len(words(r["text"])) for r in got) == want > 27
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(doc_rows(), DOCS)
     got = mixing_plan(df).collect()

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.ranking import both_ends
+from terrafold.session import checkpoint_folder
 
 
 def written(df: DataFrame) -> DataFrame:
     """df through Parquet in the folder that the cluster shares (spark.checkpoint.dir), which cuts its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/graph-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

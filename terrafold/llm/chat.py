@@ -62,15 +62,21 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def one_of_each_message(messages: DataFrame) -> DataFrame:
+    """conv_id, msg_id, parent_id, role, text and score, once for each conv_id and msg_id: the first of the others' values, in order."""
+    fields = [c for c in ("parent_id", "score", "role", "text") if c in messages.columns]
+    return messages.groupBy("conv_id", "msg_id").agg(F.min(F.struct(*fields)).alias("m")).select("conv_id", "msg_id", "m.*")
+
+
 def root_to_leaf_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """conv_id, leaf_id, path_rank, path_score, msg_id, depth: the rows of the ``top`` branches of each conversation.
 
-    messages has conv_id, msg_id (unique in its conversation), parent_id and
-    score. A parent that does not exist makes its child a root; messages on a
+    messages has conv_id, msg_id, parent_id and score; messages that repeat both
+    ids count once. A parent that does not exist makes its child a root; messages on a
     cycle belong to no path. A null score is 0; ties go to the smaller leaf id.
     """
     same = lambda a, b, x, y: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id")) & (F.col(f"{a}.{x}") == F.col(f"{b}.{y}"))
-    m = stored(messages.select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "messages")
+    m = stored(one_of_each_message(messages.select("conv_id", "msg_id", "parent_id", "score")).select("conv_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "messages")
     roots_and_up = m.alias("a").join(m.alias("b"), same("a", "b", "parent_id", "msg_id"))
     # jumps[k]: messages with an ancestor 2 ** k above them, and the scores on the way to it
     jumps = [stored(roots_and_up.select("a.conv_id", "a.msg_id", F.col("b.msg_id").alias("up"), F.col("a.score").alias("total")), "jump")]
@@ -105,9 +111,11 @@ def format_conversations(messages: DataFrame, top: int = 1, loss_role: str = "as
     messages has conv_id, msg_id, parent_id, role, text and score; null roles
     and texts are empty. loss_spans are (start, end) in code points of
     formatted. A path is one value of one row, and so has to fit a task.
+    Messages that repeat both ids count once; an empty table gives no rows, and
+    other columns are ignored.
     """
     paths = root_to_leaf_paths(messages, top).alias("p")
-    m = messages.alias("m")
+    m = one_of_each_message(messages).alias("m")
     j = paths.join(m, F.col("p.conv_id").eqNullSafe(F.col("m.conv_id")) & (F.col("p.msg_id") == F.col("m.msg_id")))
     turn = F.struct((-F.col("p.back")).alias("at"), F.coalesce("m.role", F.lit("")).alias("role"), F.coalesce("m.text", F.lit("")).alias("text"))
     grouped = j.groupBy("p.conv_id", "p.leaf_id", "p.path_rank", "p.path_score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrafold.session import checkpoint_folder
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^ \t\n\x0B\f\r]+"
 SPACE = r"[ \t\n\x0B\f\r]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return sc.getCheckpointDir()
+    """The folder that all machines see: spark.checkpoint.dir, or a new one where that is unset and Spark runs on this machine alone."""
+    return checkpoint_folder(spark)
 
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:

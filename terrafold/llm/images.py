@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.graph import connected_components
+
 from .common import stored, table
-from .components import connected_components
 from .features2d import TESTS, describe, resampling
 
 SIZE = 96
@@ -86,8 +87,13 @@ def images_from_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "
     return rows.select(F.col(id_col).cast("long").alias("image_id"), F.col(vector).alias("vector")).mapInPandas(render, "image_id long, pixels binary, height int, width int")
 
 
+def sound(images: DataFrame) -> DataFrame:
+    """The images that have an id and as many pixels as their height and width say."""
+    return images.where("image_id is not null and height > 0 and width > 0 and octet_length(pixels) = height * width")
+
+
 def edited_copies(images: DataFrame) -> DataFrame:
-    """The images, edited in one of four ways by id."""
+    """The sound images, edited in one of four ways by id."""
 
     def edit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -97,18 +103,18 @@ def edited_copies(images: DataFrame) -> DataFrame:
                 out.append((i, e.tobytes(), e.shape[0], e.shape[1]))
             yield pd.DataFrame(out, columns=["image_id", "pixels", "height", "width"])
 
-    return images.where("image_id is not null").mapInPandas(edit, "image_id long, pixels binary, height int, width int")
+    return sound(images).mapInPandas(edit, "image_id long, pixels binary, height int, width int")
 
 
 def local_descriptors(images: DataFrame) -> DataFrame:
     """A row for each corner: image_id, corner, x, y (from the centre), scale, angle, d0..d3 (the bits) and chunks.
 
-    Null pixels, and images too small for a descriptor, have no rows.
+    Null and damaged pixels (not height times width of them), and images too
+    small for a descriptor, have no rows. Other columns are ignored.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[f.pixels.notna() & f.image_id.notna()]
             for (h, w), same in f.groupby(["height", "width"]):
                 for at in range(0, len(same), _STACK):
                     g = same.iloc[at : at + _STACK]
@@ -125,7 +131,13 @@ def local_descriptors(images: DataFrame) -> DataFrame:
                     corner[order] = np.arange(len(i)) - first[i[order]]
                     yield pd.DataFrame({"image_id": g.image_id.to_numpy()[i], "corner": corner, "x": d["x"] - (w - 1) / 2, "y": d["y"] - (h - 1) / 2, "scale": d["scale"], "angle": d["angle"], **{f"d{k}": words[:, k] for k in range(TESTS // 64)}, "chunks": list(chunks)})
 
-    return images.select("image_id", "pixels", "height", "width").mapInPandas(run, "image_id long, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long, chunks array<long>")
+    return sound(images.select("image_id", "pixels", "height", "width")).mapInPandas(run, "image_id long, corner int, x float, y float, scale float, angle float, d0 long, d1 long, d2 long, d3 long, chunks array<long>")
+
+
+def _one_each(descriptors: DataFrame) -> DataFrame:
+    """Of rows with equal image_id and corner, the smallest: equal ids with different pixels give the same in every run."""
+    rest = [c for c in descriptors.columns if c not in ("image_id", "corner")]
+    return descriptors.groupBy("image_id", "corner").agg(F.min(F.struct(*rest)).alias("m")).select("image_id", "corner", "m.*")
 
 
 def _listed(descriptors: DataFrame, tables: int) -> DataFrame:
@@ -212,8 +224,8 @@ def copies_and_members(images: DataFrame, queries: DataFrame, ids: DataFrame | N
     And image_id, leader: a row for each image, which may be its own leader. ids
     has the images' ids, where those cost less than the images.
     """
-    d = stored(local_descriptors(images).dropDuplicates(["image_id", "corner"]), "descriptors")
-    q = stored(local_descriptors(queries).dropDuplicates(["image_id", "corner"]), "query-descriptors")
+    d = stored(_one_each(local_descriptors(images)), "descriptors")
+    q = stored(_one_each(local_descriptors(queries)), "query-descriptors")
     follow = followers(d)
     lead = d.join(follow, "image_id", "left_anti").withColumn("leader", F.col("image_id"))
     more = d.join(follow.select("image_id", "leader", F.explode("lacks").alias("corner")), ["image_id", "corner"])

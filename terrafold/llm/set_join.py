@@ -34,8 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.graph import connected_components
+
 from .common import fresh, stored, table
-from .components import connected_components
 from .shingles import common, fingerprints, joined_arrays, pack, parts_of, shingle_sets, unpack
 
 WORDS, THRESHOLD = 5, 80

@@ -48,7 +48,9 @@ def unchunked(framed: bytes) -> bytes:
     """The payload of chunked framing; chunk extensions and trailers are passed over."""
     out, at = [], 0
     while True:
-        end = framed.index(b"\r\n", at)
+        end = framed.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("a chunk is cut off")
         size = int(framed[at:end].split(b";")[0].strip(), 16)
         at = end + 2
         if size == 0:
@@ -118,30 +120,55 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     records.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def walk_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
+def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """What an archive's gzip members hold, one by one, with what is wrong with it; one that isn't compressed comes as it is."""
+    if content[:2] != b"\x1f\x8b":
+        yield content, None
+        return
+    while content[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out = d.decompress(content)
+        except zlib.error as e:
+            yield b"", f"gzip: {e}"
+            return
+        yield out, None if d.eof else "gzip: a member is cut off"
+        content = d.unused_data
+    if content.strip(b"\0"):
+        yield b"", "gzip: other bytes behind a member"
+
+
+def walk_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Headers (names in lower case), block and error of each record; the walk ends at the first record whose end can't be known."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:])}
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in lines[1:] if ":" in x)}
+        n = headers.get("content-length", "")
+        if end < 0 or not lines[0].startswith("WARC/") or not n.isdigit():
+            yield headers, b"", f"no record begins at byte {at}"
+            return
         at = end + 4
-        n = int(headers["content-length"])
-        if at + n + 4 > len(data) or data[at + n : at + n + 4] != b"\r\n\r\n":
-            raise ValueError("a record is cut off")
-        yield headers, data[at : at + n]
-        at += n + 4
+        stop = at + int(n)
+        if data[stop : stop + 4] != b"\r\n\r\n":
+            yield headers, b"", "a record is cut off"
+            return
+        yield headers, data[at:stop], None
+        at = stop + 4
 
 
 def response_payload(block: bytes) -> bytes:
-    """The decoded body of an HTTP response."""
-    head, body = block.split(b"\r\n\r\n", 1)
+    """The decoded body of an HTTP response; a ValueError says what is wrong with it."""
+    head, found, body = block.partition(b"\r\n\r\n")
+    if not found:
+        raise ValueError("an HTTP response has no end of its headers")
     return unchunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked", head) else body
 
 
-_PARSED = "record_id string, origin_id string, record_type string, segment int, total_length long, page_id long, digest string, refers_record string, block binary, payload_bytes long, payload_digest string, payload binary"
+_PARSED = "record_id string, origin_id string, record_type string, segment int, total_length long, page_id long, digest string, refers_record string, block binary, payload_bytes long, payload_digest string, payload binary, error string"
+_NAMES = [x.split()[0] for x in _PARSED.split(", ")]
+_INTS = {"segment": "Int32", "total_length": "Int64", "page_id": "Int64", "payload_bytes": "Int64"}
 
 
 def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -158,34 +185,50 @@ def reassembled(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     return whole
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """record_id, record_type, page_id, digest, refers_record, payload_bytes,
-    payload_digest and payload (null unless asked for) of the responses and
-    revisits under path. A revisit has no payload of its own.
-    """
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdigit() else None
+
+
+def _row(h: dict[str, str], block: bytes, error: str | None, payload: bool) -> list:
+    rid, kind = h.get("warc-record-id"), h.get("warc-type")
+    number = _number(h.get("warc-segment-number"))
+    row = [rid, h.get("warc-segment-origin-id", rid), kind, None, None, _number(h.get("x-page-id")), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, h.get("warc-refers-to"), None, None, None, None, error]
+    if error is None and (rid is None or kind is None):
+        row[-1] = "no record id or type"
+    elif error is None and number is not None:
+        row[3], row[4], row[8] = number, _number(h.get("warc-segment-total-length")), block
+    elif error is None and kind == "response":
+        try:
+            body = response_payload(block)
+            row[9:12] = len(body), base32_sha1(body), body if payload else None
+        except ValueError as e:
+            row[-1] = str(e)
+    return row
+
+
+def archive_rows(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """All records under path, whole or reassembled, those that can't be read with an error; see read_warc()."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b.content:
-                data = zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else content
                 rows = []
-                for h, block in walk_records(data):
-                    number = h.get("warc-segment-number")
-                    kind, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
-                    page = int(h["x-page-id"]) if "x-page-id" in h else None
-                    row = [h["warc-record-id"], h.get("warc-segment-origin-id", h["warc-record-id"]), kind, None, None, page, digest, h.get("warc-refers-to"), None, None, None, None]
-                    if number:
-                        row[3], row[4], row[8] = int(number), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block
-                    elif kind == "response":
-                        body = response_payload(block)
-                        row[9:12] = len(body), base32_sha1(body), body if payload else None
-                    rows.append(row)
+                for data, wrong in members(content):
+                    rows += [_row(*x, payload) for x in walk_records(data)]
+                    if wrong:
+                        rows.append(_row({}, b"", wrong, payload))
                 if rows:
-                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PARSED.split(", ")]).astype({"segment": "Int32", "total_length": "Int64", "page_id": "Int64", "payload_bytes": "Int64"})
+                    yield pd.DataFrame(rows, columns=_NAMES).astype(_INTS)
 
     def join_parts(g: pd.DataFrame) -> pd.DataFrame:
-        body = response_payload(reassembled([(int(n), None if pd.isna(t) else int(t), bytes(b)) for n, t, b in zip(g.segment, g.total_length, g.block)]))
         first = g[g.record_type != "continuation"].copy()
+        try:
+            if first.empty:
+                raise ValueError("the first segment is missing")
+            body = response_payload(reassembled([(int(n), None if pd.isna(t) else int(t), bytes(b)) for n, t, b in zip(g.segment, g.total_length, g.block)]))
+        except ValueError as e:
+            bad = first if len(first) else g.head(1).copy()
+            return bad.assign(block=None, error=str(e))
         first["payload_bytes"], first["payload_digest"], first["payload"] = len(body), base32_sha1(body), [body if payload else None] * len(first)
         return first.assign(block=None)
 
@@ -193,10 +236,31 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     parsed = stored(files.mapInPandas(parse, _PARSED), "warc-records")
     whole = parsed.where("segment is null")
     parts = parsed.where("segment is not null").groupBy("origin_id").applyInPandas(join_parts, _PARSED)
-    return whole.unionByName(parts).select("record_id", "record_type", "page_id", "digest", "refers_record", "payload_bytes", "payload_digest", "payload")
+    return whole.unionByName(parts)
+
+
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """record_id, record_type, page_id, digest, refers_record, payload_bytes,
+    payload_digest and payload (null unless asked for) of the responses and
+    revisits under path. A revisit has no payload of its own.
+
+    Files may be plain or gzip, with one member for all records or one for each.
+    Records that can't be read (cut off, a segment missing or with different
+    blocks, a bad chunk) are not among these, but in rejected_records(); what
+    stands behind a record whose length is unknown is lost with it. Records of
+    other types have no payload. An empty file has no rows.
+    """
+    rows = archive_rows(spark, path, payload).where("error is null")
+    return rows.select("record_id", "record_type", "page_id", "digest", "refers_record", "payload_bytes", "payload_digest", "payload")
+
+
+def rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, record_type, page_id and error of the records under path that can't be read."""
+    return archive_rows(spark, path, False).where("error is not null").select("record_id", "record_type", "page_id", "error")
 
 
 def op2_warc(spark, sf_dir):
+    """Every row of pages, written and read back. A revisit whose response can't be read has no payload."""
     path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), path)
     r = stored(read_warc(spark, path, payload=False).drop("payload"), "warc-read")
@@ -204,5 +268,5 @@ def op2_warc(spark, sf_dir):
     original = responses.groupBy("record_id").agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("payload_bytes"), F.min("payload_digest").alias("payload_digest"))
     own = responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     again = r.where("record_type = 'revisit'").select("page_id", "digest", "record_type", "refers_record")
-    again = again.join(original, F.col("refers_record") == F.col("record_id")).where("digest = payload_digest")
+    again = again.join(original, (F.col("refers_record") == F.col("record_id")) & (F.col("digest") == F.col("payload_digest")), "left")
     return own.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))

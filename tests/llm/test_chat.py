@@ -4,6 +4,8 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from terrafold.llm import chat
 from terrafold.llm.chat import format_conversations, format_turns, read_turns, root_to_leaf_paths, unescape
 
@@ -75,3 +77,11 @@ def test_query(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, msg_id long, parent_id long, role string, text string, score double")
     assert format_conversations(df).count() == 0
+
+
+def test_repeated_messages_count_once(spark):
+    rows = [(1, 1, None, "user", "hi", 0.0), (1, 2, 1, "assistant", "yes", 1.0), (1, 2, 1, "assistant", "yes", 1.0), (1, 3, 2, "user", "so", 0.5)]
+    df = spark.createDataFrame(rows, "conv_id long, msg_id long, parent_id long, role string, text string, score double").withColumn("back", F.lit(1)).withColumn("a.b", F.lit(2))
+    got = format_conversations(df).collect()
+    assert [read_turns(r["formatted"]) for r in got] == [[("user", "hi"), ("assistant", "yes"), ("user", "so")]]
+    assert format_conversations(df.limit(0)).count() == 0

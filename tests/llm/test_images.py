@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.llm.features2d import MARGIN, TESTS, corners, describe, resampling
-from terrafold.llm.images import SIZE, detect_copies, edited, edited_copies, followers, images_from_vectors, local_descriptors, op1_image_copies, rendered
+from terrafold.llm.images import SIZE, copies_and_members, detect_copies, edited, edited_copies, followers, images_from_vectors, local_descriptors, op1_image_copies, rendered
 
 MEDIA = "image_id long, pixels binary, height int, width int"
 
@@ -66,6 +67,31 @@ def test_odd_media(spark):
     assert edited(np.zeros((SIZE, SIZE), np.uint8), 3, 0).shape == (72, 72)
 
 
+def test_damaged_images_have_no_rows(spark, vectors):
+    whole = rendered(vectors[:1])[0].tobytes()
+    df = spark.createDataFrame([(50, whole, SIZE, SIZE), (100, whole[:-1], SIZE, SIZE), (150, None, SIZE, SIZE), (200, b"", 0, 0), (250, whole, -SIZE, -SIZE), (300, whole, None, SIZE)], MEDIA).withColumn("corner", F.lit(1))
+    assert [r["image_id"] for r in local_descriptors(df).select("image_id").distinct().collect()] == [50]
+    assert [r["image_id"] for r in edited_copies(df).collect()] == [50]
+    got = detect_copies(df, edited_copies(df)).collect()
+    assert [(r["query_id"], r["match_id"]) for r in got] == [(50, 50)]
+
+
+def test_each_edit_is_found_behind_a_chain(spark, vectors):
+    """Every query's source is the last of 12 slowly changing images; of each edit, most are found by the source's own leader."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i, v in enumerate(vectors[:16]):
+        steps = rng.normal(0, 0.012, (12, 64)).cumsum(0)
+        rows += [(i * 50 + (11 - k), (v + steps[k]).tolist()) for k in range(12)]
+    images = images_from_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    matches, members = copies_and_members(images, edited_copies(images.where("image_id % 50 = 0")))
+    leader = {r["image_id"]: r["leader"] for r in members.collect()}
+    found = {r["query_id"] for r in matches.collect() if r["match_id"] is not None and r["match_id"] == leader[r["query_id"]]}
+    assert len(found) >= 14
+    for kind in range(4):
+        assert sum(q // 50 % 4 == kind for q in found) >= 3
+
+
 def _media(images):
     return [(i, x.tobytes(), SIZE, SIZE) for i, x in images.items()]
 

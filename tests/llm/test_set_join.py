@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.llm import set_join
-from terrafold.llm.components import connected_components
+from terrafold.operators.graph import connected_components
 from terrafold.llm.set_join import keep_one_of_each, set_relation_join
 from terrafold.llm.shingles import common, pack, shingle_sets, unpack
 

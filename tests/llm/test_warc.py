@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import re
 import tempfile
@@ -32,7 +33,7 @@ def test_records_that_hold_records():
     html = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 9
     data = b"".join(r + b"\r\n" for r in page_records(1, "http://a b\r\nX: y", html, None, False, 0, 64))
     got = list(walk_records(data))
-    assert [h["warc-type"] for h, _ in got] == ["response"] + ["continuation"] * (len(got) - 1) and len(got) > 5
+    assert [h["warc-type"] for h, _, _ in got] == ["response"] + ["continuation"] * (len(got) - 1) and len(got) > 5
     assert "x" not in got[0][0] and got[0][0]["warc-target-uri"] == "http://a%20b%0D%0AX:%20y"
 
 
@@ -77,3 +78,43 @@ def test_payloads_come_back(spark, compression):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).count() == 0
+
+
+def archive(spark, *files):
+    path = tempfile.mkdtemp(prefix="warc-", dir="/tmp")
+    for i, f in enumerate(files):
+        with open(f"{path}/{i}.warc", "wb") as out:
+            out.write(f)
+    return path
+
+
+def one_page(n, html, segment=10**6):
+    return [r + b"\r\n" for r in page_records(n, "http://a/", html, None, False, 0, segment)]
+
+
+def test_gzip_members_of_a_record_each(spark):
+    """The usual form of archives: all records come back, not the first only."""
+    records = [r for n in range(20) for r in one_page(n, b"page %d" % n * 40, 100)]
+    path = archive(spark, b"".join(gzip.compress(r) for r in records), gzip.compress(b"".join(one_page(99, b"whole"))), b"")
+    got = read_warc(spark, path).collect()
+    assert {r["page_id"]: bytes(r["payload"]) for r in got} == {**{n: b"page %d" % n * 40 for n in range(20)}, 99: b"whole"}
+    assert warc.rejected_records(spark, path).count() == 0
+
+
+def test_damaged_archives_are_rejected_record_by_record(spark):
+    good = one_page(1, b"good")[0]
+    parts = one_page(2, b"x" * 300, 100)
+    chunk = one_page(3, b"abc")[0].replace(b"3\r\nabc", b"9\r\nabc")
+    other = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:m>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    path = archive(spark, good + parts[1] + parts[2] + other, chunk + good[:-9], b"no archive", gzip.compress(good)[:-20], good + b"WARC/1.1\r\nContent-Length: x\r\n\r\n", one_page(4, b"y" * 300, 100)[0])
+    got = read_warc(spark, path)
+    assert sorted((r["page_id"], r["record_type"]) for r in got.where("record_type = 'response'").collect()) == [(1, "response")] * 2
+    assert got.where("record_type = 'metadata'").count() == 1
+    errors = sorted(r["error"].split(" byte")[0] for r in warc.rejected_records(spark, path).collect())
+    assert {"a chunk is cut off", "a record is cut off", "the first segment is missing", "no record begins at", "gzip: a member is cut off"} <= set(errors)
+    assert any(e.startswith("segments [1]") for e in errors)
+
+
+def test_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "h", "x", "y")], PAGES + ", h string, first_id string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r["page_id"] for r in warc.op2_warc(spark, str(tmp_path)).collect()] == [1]

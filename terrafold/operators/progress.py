@@ -12,10 +12,7 @@ def last_decisions(log: DataFrame, keys: list[str], ts: str, values: list[str])
 
 
 def review_queue(best: DataFrame, decisions: DataFrame) -> DataFrame:
-    """best with the verdict on each pair, if any, and its place in the queue of the undecided (null when decided).
-
-    Places are counted inside bands of score and added up, so no task sorts all pairs.
-    """
+    """best with the verdict on each pair, if any, and open, whether it has none."""
     d = decisions.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "verdict")
     return best.join(d, ["a", "b"], "left").withColumn("open", F.col("verdict").isNull())
 
@@ -62,17 +59,38 @@ def derived_status(rows: DataFrame, rules: list[tuple[Column, str]], otherwise:
     return out.otherwise(otherwise)
 
 
-def weighted_picks(items: DataFrame, ident: str, weight: str, draws: DataFrame, bands: int = 64) -> DataFrame:
-    """draw, ident: for each draw(draw, u in [0, 1)) the item in whose share of the running weight it falls.
+def weighted_picks(items: DataFrame, ident: str, weight: str, draws: DataFrame, per_band: int = 1_024) -> DataFrame:
+    """draw, ident: for each draw(draw, at) the item in whose share of the running weight it falls.
 
-    Items are laid out by id in bands; a draw first finds its band among the few
-    bands, and then its item in it.
+    Items stand in the order of ident, a long, and weights are whole numbers, so
+    sums are exact. Running sums are taken inside bands of ``per_band`` ids, with
+    the bands before added; the scale of weights is cut into cells, and an item
+    is listed in those that it covers, so a draw finds it by its cell.
     """
-    i = items.select(F.col(ident).alias("item"), F.col(weight).cast("double").alias("w")).where("w > 0")
-    i = i.withColumn("band", F.pmod(F.xxhash64("item"), F.lit(bands)))
+    i = items.select(F.col(ident).alias("item"), F.col(weight).cast("long").alias("w")).where("w > 0").withColumn("band", F.floor(F.col("item") / per_band))
     b = i.groupBy("band").agg(F.sum("w").alias("bw"))
-    b = b.withColumn("hi", F.sum("bw").over(Window.orderBy("band"))).withColumn("lo", F.col("hi") - F.col("bw")).withColumn("all", F.sum("bw").over(Window.partitionBy(F.lit(0))))
-    x = draws.crossJoin(F.broadcast(b)).withColumn("at", F.col("u") * F.col("all")).where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")))  # `bands` rows
-    x = x.select("draw", "band", (F.col("at") - F.col("lo")).alias("at"))
-    run = i.withColumn("to", F.sum("w").over(Window.partitionBy("band").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("w"))
-    return x.join(run, "band").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to"))).select("draw", F.col("item").alias(ident))
+    b = b.select("band", F.coalesce(F.sum("bw").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each band
+    cell = int(i.agg(F.coalesce(F.avg("w"), F.lit(1.0))).first()[0] * 16) + 1
+    run = F.sum("w").over(Window.partitionBy("band").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
+    r = i.withColumn("inside", run).join(b, "band").withColumn("to", F.col("before") + F.col("inside")).withColumn("from", F.col("to") - F.col("w"))
+    r = r.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / cell), F.floor((F.col("to") - 1) / cell))))
+    d = draws.select("draw", "at", F.floor(F.col("at") / cell).alias("cell"))
+    return d.join(r, "cell").where((F.col("at") >= F.col("from")) & (F.col("at") < F.col("to"))).select("draw", F.col("item").alias(ident))
+
+
+def carried_decisions(decisions: DataFrame, names: DataFrame) -> DataFrame:
+    """decisions(a, b, verdict) with kept: whether both names are still in names(name)."""
+    n = names.select("name").distinct()
+    d = decisions.join(n.select(F.col("name").alias("a"), F.lit(True).alias("_a")), "a", "left").join(n.select(F.col("name").alias("b"), F.lit(True).alias("_b")), "b", "left")
+    return d.withColumn("kept", F.col("_a").isNotNull() & F.col("_b").isNotNull()).drop("_a", "_b")
+
+
+def replaced(rows: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, with all of a key's rows replaced by those of fresh, where that has any."""
+    return rows.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
+
+
+def interrupted(runs: DataFrame, key: str, ts: str, kind: str, started: str, ended: list[str]) -> DataFrame:
+    """key, last, interrupted: runs whose latest start has no end at or after it."""
+    g = runs.groupBy(key).agg(F.max(F.when(F.col(kind) == started, F.col(ts))).alias("began"), F.max(F.when(F.col(kind).isin(ended), F.col(ts))).alias("over"), F.max(ts).alias("last"))
+    return g.select(key, "last", (F.col("began").isNotNull() & (F.col("over").isNull() | (F.col("over") < F.col("began")))).alias("interrupted"))

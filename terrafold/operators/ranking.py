@@ -71,9 +71,22 @@ def candidate_index(cand: DataFrame, k: int) -> DataFrame:
 
 
 def rival_margin(cand: DataFrame, gap: float) -> DataFrame:
-    """a, b, score, rival, margin: each pair's best accepted candidate and the best other whose placement (seam) is over ``gap`` away."""
+    """a, b, score, rival, margin, moved, rival_accepted: each pair's best accepted candidate and the best other whose placement (seam) is over ``gap`` away.
+
+    moved is how far away that one is, rival_accepted whether it is accepted itself.
+    """
+    fields = cand.schema["ord"].dataType.names
     best = best_per_pair(cand).select("a", "b", F.col("score").alias("best"), F.col("seam").alias("at"))
-    far = cand.join(best, ["a", "b"]).where(F.abs(F.col("seam") - F.col("at")) > gap)
-    r = far.groupBy("a", "b").agg(F.max("score").alias("rival"))
+    far = cand.join(best, ["a", "b"]).withColumn("moved", F.abs(F.col("seam") - F.col("at"))).where(F.col("moved") > gap)
+    first = F.struct("score", *[(-F.col(f"ord.{f}")).alias(f) for f in fields])
+    r = far.groupBy("a", "b").agg(F.max_by(F.struct("score", "moved", "accepted"), first).alias("m"))
     j = best.join(r, ["a", "b"], "left")
-    return j.select("a", "b", F.col("best").alias("score"), "rival", (F.col("best") - F.col("rival")).alias("margin"))
+    return j.select("a", "b", F.col("best").alias("score"), F.col("m.score").alias("rival"), (F.col("best") - F.col("m.score")).alias("margin"), F.col("m.moved").alias("moved"), F.col("m.accepted").alias("rival_accepted"))
+
+
+def best_of_tier(cand: DataFrame, tier: str, top: int) -> DataFrame:
+    """The ``top`` best rows of a tier by score, then order (all with 0), each with the number of the tier's rows before the cut."""
+    band = cand.where(F.col("tier") == tier)
+    total = band.agg(F.count(F.lit(1)).alias("total"))  # one row
+    ordered = band.orderBy(F.desc("score"), "ord").limit(top) if top else band
+    return ordered.crossJoin(F.broadcast(total))

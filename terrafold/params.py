@@ -37,8 +37,14 @@ class TierRule:
     min_tight: float = 0.35
     max_gap: float = 0.015
     min_seam: float = 5.0
+    min_cont: float = 0.9
+    max_pen: float = 0.0
+    max_slide: float = 0.25
     min_support: int = 1
     min_margin: float = 2.0
+    #: How far away, in walls, the second placement has to lie for a margin over it to count, and whether it has to be refused.
+    min_moved: float = 0.0
+    rival_refused: bool = False
 
 
 @dataclass(frozen=True)

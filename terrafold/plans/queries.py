@@ -167,18 +167,20 @@ def face_adjacency_lead(spark, sf_dir):
 
 # candidate view
 
-RULE = Acceptance(min_tight=0.25, max_gap=0.03, min_seam=3.0)
-TIER = TierRule(min_tight=0.35, max_gap=0.015, min_seam=5.0)
+RULE = Acceptance(min_tight=0.25, max_gap=0.05, max_pen=0.005, min_seam=3.0, min_cont=0.8)
+TIER = TierRule(min_tight=0.35, max_gap=0.025, min_seam=5.0, min_cont=0.75, max_pen=0.004, max_slide=0.25)
+#: Support counts where the way over a third fragment leads to within this of the join itself.
+AGREE = 5.0
 _ORD = "o1, o2, o3, o4"
 _o = lambda df: df.select(*[c for c in df.columns if c != "ord"], *[F.col(f"ord.{f}").alias(k) for k, f in (("o1", "l_orderkey"), ("o2", "l_linenumber"), ("o3", "l_partkey"), ("o4", "l_suppkey"))])
 
 
 def _all_tests():
     t = rules.acceptance_tests(RULE)
-    return t["tight"] & t["gap"] & t["seam"]
+    return t["tight"] & t["gap"] & t["pen"] & t["seam"] & t["cont"]
 
 
-@query("accept_filter", f"WITH {CANDIDATES_SQL} SELECT a, b, round(score, 6) AS score, {_ORD} FROM cand WHERE tight >= 0.25 AND gap <= 0.03 AND seam >= 3.0")
+@query("accept_filter", f"WITH {CANDIDATES_SQL} SELECT a, b, round(score, 6) AS score, {_ORD} FROM cand WHERE tight >= 0.25 AND gap <= 0.05 AND pen <= 0.005 AND seam >= 3.0 AND cont >= 0.8")
 def accept_filter(spark, sf_dir):
     return rounded(_o(candidates(spark, sf_dir).where(_all_tests()).select("a", "b", "score", "ord")), "score")
 
@@ -186,7 +188,8 @@ def accept_filter(spark, sf_dir):
 @query(
     "refusal_reasons",
     f"""WITH {CANDIDATES_SQL} SELECT a, b, {_ORD}, concat_ws('; ', CASE WHEN NOT tight >= 0.25 THEN 'tight ' || format('{{:.3f}}', tight) || ' below 0.25' END,
-    CASE WHEN NOT gap <= 0.03 THEN 'gap ' || format('{{:.3f}}', gap) || ' above 0.03' END, CASE WHEN NOT seam >= 3.0 THEN 'seam ' || format('{{:.3f}}', seam) || ' below 3.0' END) AS reasons FROM cand""",
+    CASE WHEN NOT gap <= 0.05 THEN 'gap ' || format('{{:.3f}}', gap) || ' above 0.05' END, CASE WHEN NOT pen <= 0.005 THEN 'pen ' || format('{{:.3f}}', pen) || ' above 0.005' END,
+    CASE WHEN NOT seam >= 3.0 THEN 'seam ' || format('{{:.3f}}', seam) || ' below 3.0' END, CASE WHEN NOT cont >= 0.8 THEN 'cont ' || format('{{:.3f}}', cont) || ' below 0.8' END) AS reasons FROM cand""",
 )
 def refusal_reasons(spark, sf_dir):
     r = rules.refusal_reasons(candidates(spark, sf_dir), RULE)
@@ -209,57 +212,77 @@ def top_partners(spark, sf_dir):
     return ranking.top_partners(ranking.best_per_pair(candidates(spark, sf_dir)), 2)
 
 
+_SUPPORT = f"""ed AS (SELECT a, b, seam AS s FROM best UNION ALL SELECT b, a, -seam FROM best),
+sup AS (SELECT x.a, y.b, count(*) AS support FROM ed x JOIN ed y ON x.b = y.a JOIN best e ON e.a = x.a AND e.b = y.b WHERE abs(x.s + y.s - e.seam) <= {AGREE} GROUP BY 1, 2)"""
+_RIVAL = f"""rv AS (SELECT a, b, best - score AS margin, score AS rival, moved, rival_accepted FROM (SELECT best.a, best.b, best.score AS best, c.score, abs(c.seam - best.seam) AS moved, c.accepted AS rival_accepted,
+  row_number() OVER (PARTITION BY best.a, best.b ORDER BY c.score DESC, c.o1, c.o2, c.o3, c.o4) AS r FROM best JOIN cand c ON c.a = best.a AND c.b = best.b AND abs(c.seam - best.seam) > 5) WHERE r = 1)"""
+_STRICT = {"tight": "tight >= 0.35", "gap": "gap <= 0.025", "seam": "seam >= 5", "cont": "cont >= 0.75", "pen": "pen <= 0.004", "slide": "coalesce(slide <= 0.25, false)", "independent": "(coalesce(support, 0) >= 1 OR coalesce(margin >= 2.0, false))"}
+_CONFIRMED = " AND ".join(_STRICT.values())
+_TIERED = f"tiered AS (SELECT cand.*, support, margin, CASE WHEN accepted AND {_CONFIRMED} THEN 0 WHEN accepted THEN 1 ELSE 2 END AS rank FROM cand LEFT JOIN sup USING (a, b) LEFT JOIN rv USING (a, b))"
+_NAME = "CASE rank WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' ELSE 'rejected' END"
+
+
+def _support(best):
+    return graph.support_counts(best.withColumn("shift", F.col("seam").cast("double")), AGREE)
+
+
+def _tiered(spark, sf_dir):
+    """All candidates with their tier; support and margin are those of the pair."""
+    c = candidates(spark, sf_dir)
+    best = graph.written(ranking.best_per_pair(c))
+    margin = ranking.rival_margin(c, 5.0).select("a", "b", "margin", "moved", "rival_accepted")
+    return rules.classify(c.join(_support(best), ["a", "b"], "left").join(margin, ["a", "b"], "left"), TIER)
+
+
 @query(
     "pair_representative",
-    f"""WITH {CANDIDATES_SQL}, t AS (SELECT *, CASE WHEN accepted AND tight >= 0.35 AND gap <= 0.015 AND seam >= 5 THEN 0 WHEN accepted THEN 1 ELSE 2 END AS rank FROM cand),
-    r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rank, score DESC, {_ORD}) AS r, count(*) OVER (PARTITION BY a, b) AS n_candidates FROM t)
-    SELECT a, b, n_candidates, CASE rank WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' ELSE 'rejected' END AS tier, round(score, 6) AS score, {_ORD} FROM r WHERE r = 1""",
+    f"""WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT}, {_RIVAL}, {_TIERED},
+    r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rank, score DESC, {_ORD}) AS r, count(*) OVER (PARTITION BY a, b) AS n_candidates FROM tiered)
+    SELECT a, b, n_candidates, {_NAME} AS tier, round(score, 6) AS score, {_ORD} FROM r WHERE r = 1""",
 )
 def pair_representative(spark, sf_dir):
-    c = rules.classify(candidates(spark, sf_dir).withColumn("support", F.lit(1)).withColumn("margin", F.lit(None).cast("double")), TIER)
-    r = ranking.pair_representatives(c, rules.tier_rank(F.col("tier")))
+    r = ranking.pair_representatives(_tiered(spark, sf_dir), rules.tier_rank(F.col("tier")))
     return rounded(_o(r.select("a", "b", "n_candidates", "tier", "score", "ord")), "score")
 
 
-_SUPPORT = """sup AS (SELECT e.a, e.b, count(x.n) AS support FROM top e LEFT JOIN (SELECT p.n, p.m AS m1, q.m AS m2 FROM (SELECT a AS n, b AS m FROM top UNION ALL SELECT b, a FROM top) p
-  JOIN (SELECT a AS n, b AS m FROM top UNION ALL SELECT b, a FROM top) q ON p.n = q.n AND p.m < q.m) x ON x.m1 = e.a AND x.m2 = e.b GROUP BY 1, 2)"""
-
-
-@query("support_count", f"WITH {CANDIDATES_SQL}, {_BEST}, {_TOP}, {_SUPPORT} SELECT a, b, support FROM sup")
+@query("support_count", f"WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT} SELECT a, b, coalesce(support, 0) AS support FROM best LEFT JOIN sup USING (a, b)")
 def support_count(spark, sf_dir):
-    return graph.support_counts(top_partners(spark, sf_dir))
+    return _support(graph.written(ranking.best_per_pair(candidates(spark, sf_dir))))
 
 
-@query(
-    "rival_margin",
-    f"""WITH {CANDIDATES_SQL}, {_BEST} SELECT best.a, best.b, round(best.score, 6) AS score, round(max(c.score), 6) AS rival, round(best.score - max(c.score), 6) AS margin
-    FROM best LEFT JOIN cand c ON c.a = best.a AND c.b = best.b AND abs(c.seam - best.seam) > 5 GROUP BY best.a, best.b, best.score""",
-)
+@query("rival_margin", f"WITH {CANDIDATES_SQL}, {_BEST}, {_RIVAL} SELECT a, b, round(best.score, 6) AS score, round(rival, 6) AS rival, round(margin, 6) AS margin, moved, rival_accepted FROM best LEFT JOIN rv USING (a, b)")
 def rival_margin(spark, sf_dir):
     return rounded(ranking.rival_margin(candidates(spark, sf_dir), 5.0), "score", "rival", "margin")
 
 
 @query(
     "tier_classify_r1",
-    f"""WITH {CANDIDATES_SQL}, {_BEST}, {_TOP}, {_SUPPORT}, rv AS (SELECT best.a, best.b, best.score - max(c.score) AS margin FROM best LEFT JOIN cand c ON c.a = best.a AND c.b = best.b AND abs(c.seam - best.seam) > 5 GROUP BY best.a, best.b, best.score)
-    SELECT a, b, concat_ws(',', CASE WHEN NOT tight >= 0.35 THEN 'tight' END, CASE WHEN NOT gap <= 0.015 THEN 'gap' END, CASE WHEN NOT seam >= 5 THEN 'seam' END,
-      CASE WHEN NOT (coalesce(support, 0) >= 1 OR coalesce(margin >= 2.0, false)) THEN 'independent' END) AS failed,
-      CASE WHEN tight >= 0.35 AND gap <= 0.015 AND seam >= 5 AND (coalesce(support, 0) >= 1 OR coalesce(margin >= 2.0, false)) THEN 'confirmed' ELSE 'probable' END AS tier
+    f"""WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT}, {_RIVAL}
+    SELECT a, b, concat_ws(',', {", ".join(f"CASE WHEN NOT {v} THEN '{k}' END" for k, v in _STRICT.items())}) AS failed, CASE WHEN {_CONFIRMED} THEN 'confirmed' ELSE 'probable' END AS tier
     FROM best LEFT JOIN sup USING (a, b) LEFT JOIN rv USING (a, b)""",
 )
 def tier_classify_r1(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    best = ranking.best_per_pair(c)
-    sup = graph.support_counts(ranking.top_partners(best, 2))
-    margin = ranking.rival_margin(c, 5.0).select("a", "b", "margin")
-    t = rules.classify(best.join(sup, ["a", "b"], "left").join(margin, ["a", "b"], "left"), TIER)
+    best = graph.written(ranking.best_per_pair(c))
+    margin = ranking.rival_margin(c, 5.0).select("a", "b", "margin", "moved", "rival_accepted")
+    t = rules.classify(best.join(_support(best), ["a", "b"], "left").join(margin, ["a", "b"], "left"), TIER)
     return t.select("a", "b", F.array_join("failed", ",").alias("failed"), "tier")
 
 
-@query("tier_counts", f"WITH {CANDIDATES_SQL}, t AS (SELECT CASE WHEN accepted AND tight >= 0.35 AND gap <= 0.015 AND seam >= 5 THEN 'confirmed' WHEN accepted THEN 'probable' ELSE 'rejected' END AS tier FROM cand) SELECT tier, count(*) AS n FROM t GROUP BY 1")
+@query("tier_counts", f"WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT}, {_RIVAL}, {_TIERED} SELECT {_NAME} AS tier, count(*) AS n FROM tiered GROUP BY 1")
 def tier_counts(spark, sf_dir):
-    c = rules.classify(candidates(spark, sf_dir).withColumn("support", F.lit(1)).withColumn("margin", F.lit(None).cast("double")), TIER)
-    return c.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    return _tiered(spark, sf_dir).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "probable_list",
+    f"""WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT}, {_RIVAL}, {_TIERED}, r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rank, score DESC, {_ORD}) AS r FROM tiered),
+    p AS (SELECT *, count(*) OVER () AS total, row_number() OVER (ORDER BY score DESC, {_ORD}) AS place FROM r WHERE r = 1 AND rank = 1) SELECT a, b, round(score, 6) AS score, total FROM p WHERE place <= 20""",
+)
+def probable_list(spark, sf_dir):
+    """The twenty best probable pairs (a top-k report) and how many there are."""
+    r = ranking.pair_representatives(_tiered(spark, sf_dir), rules.tier_rank(F.col("tier")))
+    return rounded(ranking.best_of_tier(r, "probable", 20).select("a", "b", "score", "total"), "score")
 
 
 @query("keep_top5", f"WITH {CANDIDATES_SQL}, r AS (SELECT a, b, {_ORD}, row_number() OVER (PARTITION BY a, b ORDER BY score DESC, {_ORD}) - 1 AS rank, count(*) OVER (PARTITION BY a, b) AS pair_size FROM cand) SELECT * FROM r WHERE rank < 5")
@@ -320,21 +343,18 @@ def agree_across_runs(spark, sf_dir):
 
 @query(
     "connected_components",
-    f"""WITH RECURSIVE {CANDIDATES_SQL.strip()}, {_BEST}, {_TOP}, strong AS (SELECT a, b FROM best JOIN top USING (a, b) WHERE score > (SELECT quantile_cont(score, 0.99) FROM best)),
-    e AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
+    f"""WITH RECURSIVE {CANDIDATES_SQL.strip()}, {_BEST},
+    e AS (SELECT a, b FROM best UNION SELECT b, a FROM best), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a)
     SELECT node, min(seen) AS component FROM w GROUP BY 1""",
 )
 def connected_components(spark, sf_dir):
-    best = ranking.best_per_pair(candidates(spark, sf_dir))
-    q = best.agg(F.percentile("score", F.lit(0.99)).alias("q"))  # one row
-    strong = best.join(ranking.top_partners(best, 2), ["a", "b"]).crossJoin(F.broadcast(q)).where("score > q")
-    return graph.connected_components(strong.select("a", "b"))
+    return graph.connected_components(ranking.best_per_pair(candidates(spark, sf_dir)).select("a", "b"))
 
 
 @query(
     "drop_small_components",
-    f"""WITH RECURSIVE {CANDIDATES_SQL.strip()}, {_BEST}, {_TOP}, strong AS (SELECT a, b FROM best JOIN top USING (a, b) WHERE score > (SELECT quantile_cont(score, 0.99) FROM best)),
-    e AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a), c AS (SELECT node, min(seen) AS component FROM w GROUP BY 1)
+    f"""WITH RECURSIVE {CANDIDATES_SQL.strip()}, {_BEST},
+    e AS (SELECT a, b FROM best UNION SELECT b, a FROM best), w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a), c AS (SELECT node, min(seen) AS component FROM w GROUP BY 1)
     SELECT component, count(*) AS n_nodes, round(sum(abs(s_acctbal)), 2) AS area, sum(abs(s_acctbal)) >= 20000 AS kept FROM c JOIN supplier ON node = s_suppkey GROUP BY 1""",
 )
 def drop_small_components(spark, sf_dir):
@@ -520,26 +540,31 @@ def colour_lab_hist(spark, sf_dir):
     return rounded(g, "mean_a", "mean_b")
 
 
-@query("delta_e", f"WITH {_LAB}, m AS (SELECT label, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM lab GROUP BY 1) SELECT x.label AS p, y.label AS q, round(sqrt((x.l-y.l)*(x.l-y.l) + (x.a-y.a)*(x.a-y.a) + (x.b-y.b)*(x.b-y.b)), 6) AS delta_e FROM m x JOIN m y ON x.label < y.label")
+@query("delta_e", f"WITH {FRAGMENTS_SQL}, {_LAB}, m AS (SELECT label, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM lab GROUP BY 1) SELECT x.label AS p, y.label AS q, round(sqrt((x.l-y.l)*(x.l-y.l) + (x.a-y.a)*(x.a-y.a) + (x.b-y.b)*(x.b-y.b)), 6) AS delta_e FROM m x JOIN m y ON x.label < y.label JOIN frags f ON f.frag = x.label JOIN frags g ON g.frag = y.label WHERE f.t / g.t BETWEEN 1 / {RATIO} AND {RATIO}")
 def delta_e(spark, sf_dir):
-    m = _lab(spark, sf_dir).groupBy("label").agg(*[F.avg(c).alias(c) for c in ("l", "a", "b")])
-    x, y = m.alias("x"), m.alias("y")
+    m = _lab(spark, sf_dir).groupBy("label").agg(*[F.avg(c).alias(c) for c in ("l", "a", "b")]).select("label", F.struct("l", "a", "b").alias("c"))
     d = C.delta_e(["x.l", "x.a", "x.b"], ["y.l", "y.a", "y.b"])
-    return rounded(x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("p"), F.col("y.label").alias("q"), d.alias("delta_e")), "delta_e")
+    return rounded(_of_pairs(spark, sf_dir, m).select("p", "q", d.alias("delta_e")), "delta_e")
+
+
+def _of_pairs(spark, sf_dir, values):
+    """p, q, x, y: values(label, c) of both ends of each pair that the wall ratio leaves."""
+    kept = pairs.wall_ratio_pairs(fragments(points(spark, sf_dir)), RATIO).select(F.col("a").alias("p"), F.col("b").alias("q"))
+    of = lambda k, c: values.select(F.col("label").alias(k), F.col("c").alias(c))
+    return kept.join(of("p", "x"), "p").join(of("q", "y"), "q")
 
 
 @query(
     "hist_tv",
-    f"""WITH {_LAB}, h AS (SELECT label, greatest(0, least(63, floor(l / 100 * 64))) AS bin, count(*) AS c FROM lab GROUP BY 1, 2), s AS (SELECT label, bin, c / sum(c) OVER (PARTITION BY label) AS p FROM h),
-    k AS (SELECT p.label AS p, q.label AS q FROM (SELECT DISTINCT label FROM lab) p JOIN (SELECT DISTINCT label FROM lab) q ON p.label < q.label)
+    f"""WITH {FRAGMENTS_SQL}, {_LAB}, h AS (SELECT label, greatest(0, least(63, floor(l / 100 * 64))) AS bin, count(*) AS c FROM lab GROUP BY 1, 2), s AS (SELECT label, bin, c / sum(c) OVER (PARTITION BY label) AS p FROM h),
+    k AS (SELECT f.frag AS p, g.frag AS q FROM frags f JOIN frags g ON f.frag < g.frag WHERE f.t / g.t BETWEEN 1 / {RATIO} AND {RATIO})
     SELECT k.p, k.q, round(sum(abs(coalesce(x.p, 0) - coalesce(y.p, 0))) / 2, 6) AS tv FROM k, (SELECT unnest(range(64)) AS i) LEFT JOIN s x ON x.label = k.p AND x.bin = i LEFT JOIN s y ON y.label = k.q AND y.bin = i GROUP BY 1, 2""",
 )
 def hist_tv(spark, sf_dir):
     bins = _lab(spark, sf_dir).select("label", C.bin_index("l", 0, 100, 64).alias("bin"))
     h = bins.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.count_if(F.col("bin") == i).alias(f"b{i}") for i in range(64)])
     s = h.select("label", F.array(*[F.col(f"b{i}") / F.col("n") for i in range(64)]).alias("h"))
-    x, y = s.alias("x"), s.alias("y")
-    return rounded(x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("p"), F.col("y.label").alias("q"), C.array_variation("x.h", "y.h").alias("tv")), "tv")
+    return rounded(_of_pairs(spark, sf_dir, s.withColumnRenamed("h", "c")).select("p", "q", C.array_variation("x", "y").alias("tv")), "tv")
 
 
 # greedy and numeric operators: no SQL, tests hold them against plain loops
@@ -583,23 +608,25 @@ def icp_align(spark, sf_dir):
 
 @query(
     "weighted_picks",
-    "SELECT count(*) AS n_draws, count(*) AS n_hit FROM orders",
+    """WITH i AS (SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS w FROM part), r AS (SELECT p_partkey, w, sum(w) OVER (ORDER BY p_partkey) AS upto FROM i), t AS (SELECT sum(w) AS n FROM i)
+    SELECT o_orderkey AS draw, p_partkey FROM orders, t JOIN r ON (o_orderkey * 7919 + CAST(round(o_totalprice * 100) AS BIGINT)) % n >= upto - w AND (o_orderkey * 7919 + CAST(round(o_totalprice * 100) AS BIGINT)) % n < upto""",
 )
 def weighted_picks(spark, sf_dir):
-    draws = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw"), (F.pmod(F.xxhash64("o_orderkey"), F.lit(1 << 53)) / float(1 << 53)).alias("u"))
-    picks = progress.weighted_picks(table(spark, sf_dir, "part"), "p_partkey", "p_retailprice", draws)
-    n = draws.agg(F.count(F.lit(1)).alias("n_draws"))
-    return n.crossJoin(picks.agg(F.count(F.lit(1)).alias("n_hit")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("long").alias("w"))
+    total = parts.agg(F.sum("w").alias("n"))  # one row
+    at = (F.col("o_orderkey") * 7919 + F.round(F.col("o_totalprice") * 100).cast("long")) % F.col("n")
+    draws = table(spark, sf_dir, "orders").crossJoin(F.broadcast(total)).select(F.col("o_orderkey").alias("draw"), at.alias("at"))
+    return progress.weighted_picks(parts, "p_partkey", "w", draws)
 
 
 @query(
     "walk_order",
     f"""WITH {CANDIDATES_SQL}, {_BEST}, f AS (SELECT DISTINCT 1 AS g, least(s_nationkey, s_suppkey) AS a, greatest(s_nationkey, s_suppkey) AS b FROM supplier)
-    SELECT a, b, g IS NOT NULL AS forced, round(score, 6) AS score FROM best LEFT JOIN f USING (a, b)""",
+    SELECT a, b, g IS NOT NULL AS forced, round(score, 6) AS score, row_number() OVER (ORDER BY g IS NOT NULL DESC, score DESC, {_ORD}) AS place FROM best LEFT JOIN f USING (a, b)""",
 )
 def walk_order(spark, sf_dir):
     forced = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("a"), F.col("s_suppkey").alias("b"))
-    return rounded(rules.walk_order(ranking.best_per_pair(candidates(spark, sf_dir)), forced).select("a", "b", "forced", "score"), "score")
+    return rounded(rules.walk_order(ranking.best_per_pair(candidates(spark, sf_dir)), forced).select("a", "b", "forced", "score", "place"), "score")
 
 
 @query(

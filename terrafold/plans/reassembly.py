@@ -17,7 +17,7 @@ def classified_joins(cand: DataFrame, rule: TierRule, tol: float, far: float = 5
     """
     best = written(ranking.best_per_pair(cand))
     support = graph.support_counts(best.withColumn("shift", F.col("seam").cast("double")), tol)
-    margin = ranking.rival_margin(cand, far).select("a", "b", "margin")
+    margin = ranking.rival_margin(cand, far).select("a", "b", "margin", "moved", "rival_accepted")
     return rules.classify(best.join(support, ["a", "b"], "left").join(margin, ["a", "b"], "left"), rule)
 
 

@@ -1,4 +1,4 @@
-"""Triangle meshes as tables: PLY, OBJ, STL and OFF files read by Spark, and written as PLY or OBJ text.
+"""Triangle meshes as tables: PLY, OBJ, STL and OFF files read by Spark, and written as OBJ text or PLY bytes.
 
 Files are found and read by Spark's own file source, one row each; a small
 parser turns a file's bytes into arrays, which are exploded into vertex and face
@@ -144,3 +144,58 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     v = vertices.select("frag", F.lit(0).alias("k"), F.col("vid").alias("i"), F.format_string("v %.9g %.9g %.9g", "x", "y", "z").alias("value"))
     f = faces.select("frag", F.lit(1).alias("k"), F.col("fid").alias("i"), F.format_string("f %d %d %d", F.col("v0") + 1, F.col("v1") + 1, F.col("v2") + 1).alias("value"))
     v.unionByName(f).repartition("frag").sortWithinPartitions("frag", "k", "i").select("frag", "value").write.partitionBy("frag").text(path)
+
+
+def ply_contents(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """frag, content: each fragment as a binary little-endian PLY file, doubles for places and colours r, g, b if vertices has them.
+
+    Vertices are numbered anew in order of vid. A fragment is one mesh and has
+    to fit a task, as it does where its file is read.
+    """
+    colours = all(c in vertices.columns for c in ("r", "g", "b"))
+    fields = ["vid", "x", "y", "z", *(["r", "g", "b"] if colours else [])]
+    v = vertices.groupBy("frag").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("v"))
+    f = faces.groupBy("frag").agg(F.sort_array(F.collect_list(F.struct("fid", "v0", "v1", "v2"))).alias("f"))
+    rows = v.join(f, "frag", "left").select("frag", *[F.col(f"v.{c}").alias(c) for c in fields], *[F.coalesce(F.col(f"f.{c}"), F.array().cast("array<long>")).alias(c) for c in ("v0", "v1", "v2")])
+
+    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kind = [("x", "<f8"), ("y", "<f8"), ("z", "<f8")] + ([("r", "u1"), ("g", "u1"), ("b", "u1")] if colours else [])
+        named = "".join(f"property double {c}\n" for c in "xyz") + ("".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) if colours else "")
+        for b in frames:
+            out = []
+            for r in b.to_dict("records"):
+                vs, fs = np.zeros(len(r["vid"]), kind), np.zeros(len(r["v0"]), [("n", "u1"), ("v", "<i4", 3)])
+                for c, _ in kind:
+                    vs[c] = r[c]
+                fs["n"] = 3
+                fs["v"] = np.searchsorted(np.asarray(r["vid"]), np.stack([np.asarray(r[c], np.int64) for c in ("v0", "v1", "v2")], 1)) if len(fs) else 0
+                head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(vs)}\n{named}element face {len(fs)}\nproperty list uchar int vertex_indices\nend_header\n"
+                out.append(head.encode() + vs.tobytes() + fs.tobytes())
+            yield pd.DataFrame({"frag": b["frag"], "content": out})
+
+    return rows.mapInPandas(fill, "frag string, content binary")
+
+
+def placed_meshes(vertices: DataFrame, poses: DataFrame) -> DataFrame:
+    """vertices moved by poses(frag, pose); those of fragments without a pose stay away."""
+    from terrafold.functions.poses import apply
+
+    j = vertices.join(poses.select("frag", "pose"), "frag")
+    moved = apply("pose", ["x", "y", "z"])
+    return j.select(*[m.alias(c) if c in "xyz" else F.col(c) for c, m in [*zip("xyz", moved), *[(c, None) for c in vertices.columns if c not in ("x", "y", "z")]]]).select(*vertices.columns)
+
+
+def merged_meshes(vertices: DataFrame, faces: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One mesh for each group of groups(frag, grp): vertices and faces numbered on, fragment after fragment; frag is then the group."""
+    from pyspark.sql import Window
+
+    def offsets(rows: DataFrame, ident: str) -> DataFrame:
+        n = rows.groupBy("frag").agg((F.max(ident) + 1).alias("n")).join(groups, "frag")
+        w = Window.partitionBy("grp").orderBy("frag").rowsBetween(Window.unboundedPreceding, -1)
+        return n.select("frag", "grp", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("at"))
+
+    ov, of = offsets(vertices, "vid"), offsets(faces, "fid")
+    v = vertices.join(ov, "frag").withColumn("vid", F.col("vid") + F.col("at")).withColumn("frag", F.col("grp").cast("string")).drop("grp", "at")
+    f = faces.join(ov, "frag").join(of.select("frag", F.col("at").alias("fat")), "frag")
+    f = f.select(F.col("grp").cast("string").alias("frag"), (F.col("fid") + F.col("fat")).alias("fid"), *[(F.col(c) + F.col("at")).alias(c) for c in ("v0", "v1", "v2")])
+    return v, f

@@ -46,13 +46,14 @@ frags AS (SELECT frag, median(sqrt(x*x + y*y + z*z)) AS t, count(*) AS n_points,
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b (a < b), score, accepted, seam, tight, gap and ord, which orders all rows."""
+    """a, b (a < b), score, accepted, seam, tight, gap, pen, cont, slide (null where it can't be measured) and ord, which orders all rows."""
     n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))  # one row
     i = table(spark, sf_dir, "lineitem").crossJoin(F.broadcast(n))
     other = F.pmod(F.col("l_partkey"), F.col("n"))
     c = i.where(F.col("l_suppkey") != other).select(
         F.least("l_suppkey", other).alias("a"), F.greatest("l_suppkey", other).alias("b"), (F.col("l_extendedprice") * F.col("l_discount")).alias("score"),
         (F.col("l_returnflag") != "R").alias("accepted"), F.col("l_quantity").alias("seam"), (F.col("l_discount") * 10).alias("tight"), F.col("l_tax").alias("gap"),
+        (F.col("l_tax") / 10).alias("pen"), (1 - F.col("l_discount") * 3).alias("cont"), F.when(F.col("l_linestatus") == "O", F.col("l_tax") * 5).alias("slide"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
     )
     return c
@@ -60,5 +61,6 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANDIDATES_SQL = """
 cand AS (SELECT least(l_suppkey, l_partkey % n) AS a, greatest(l_suppkey, l_partkey % n) AS b, l_extendedprice * l_discount AS score, l_returnflag <> 'R' AS accepted,
-  l_quantity AS seam, l_discount * 10 AS tight, l_tax AS gap, l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4
+  l_quantity AS seam, l_discount * 10 AS tight, l_tax AS gap, l_tax / 10 AS pen, 1 - l_discount * 3 AS cont, CASE WHEN l_linestatus = 'O' THEN l_tax * 5 END AS slide,
+  l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4
   FROM lineitem, (SELECT count(*) AS n FROM supplier) WHERE l_suppkey <> l_partkey % n)"""

@@ -30,9 +30,21 @@ def test_pair_scales_of_a_known_pair(spark):
 
 
 def test_refusals_treat_unknown_values_as_failures(spark):
-    rows = [(0.5, 0.01, 9.0), (None, 0.01, 9.0), (float("nan"), 0.5, 1.0)]
-    got = [r["reasons"] for r in rules.refusal_reasons(spark.createDataFrame(rows, "tight double, gap double, seam double"), Acceptance()).collect()]
-    assert [len(x) for x in got] == [0, 1, 3]
+    rows = [(0.5, 0.01, 9.0, 0.0, 0.9), (None, 0.01, 9.0, 0.0, 0.9), (float("nan"), 0.5, 1.0, 0.0, 0.9), (0.5, 0.01, 9.0, 0.01, None)]
+    df = spark.createDataFrame(rows, "tight double, gap double, seam double, pen double, cont double").coalesce(1)
+    got = [r["reasons"] for r in rules.refusal_reasons(df, Acceptance()).collect()]
+    assert [len(x) for x in got] == [0, 1, 3, 2]
+    assert got[3] == ["pen 0.010 above 0.005", "cont unknown below 0.8"]
+
+
+def test_a_margin_needs_a_second_placement_far_away_and_refused(spark):
+    rows = [(0, None, None, None), (1, None, None, None), (0, 3.0, 9.0, False), (0, 3.0, 1.0, False), (0, 3.0, 9.0, True), (0, 1.0, 9.0, False)]
+    df = spark.createDataFrame(rows, "support long, margin double, moved double, rival_accepted boolean").coalesce(1)
+    df = df.select("*", *[F.lit(v).alias(k) for k, v in {"tight": 0.5, "gap": 0.01, "seam": 9.0, "cont": 0.95, "pen": 0.0, "slide": 0.1, "accepted": True}.items()])
+    tiers = lambda rule: [r["tier"] == "confirmed" for r in rules.classify(df, rule).collect()]
+    assert tiers(TierRule()) == [False, True, True, True, True, False]
+    assert tiers(TierRule(min_moved=2.0, rival_refused=True)) == [False, True, True, False, False, False]
+    assert rules.classify(df.withColumn("slide", F.lit(None).cast("double")), TierRule()).first()["failed"] == ["slide", "independent"]
 
 
 def test_leave_one_out(spark):
@@ -212,8 +224,8 @@ def test_support_counts_every_partner_that_agrees(spark):
     """Against a loop over all third nodes; most nodes have far more than two partners."""
     rng = random.Random(4)
     seam = {(a, b): rng.randint(5, 20) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.8}
-    rows = [(a, b, 1000.0 + i, True, float(s), 0.5, 0.01, (i,)) for i, ((a, b), s) in enumerate(seam.items())]
-    cand = spark.createDataFrame(rows, "a long, b long, score double, accepted boolean, seam double, tight double, gap double, ord struct<i: long>")
+    rows = [(a, b, 1000.0 + i, True, float(s), 0.5, 0.01, 0.0, 0.95, 0.1, (i,)) for i, ((a, b), s) in enumerate(seam.items())]
+    cand = spark.createDataFrame(rows, "a long, b long, score double, accepted boolean, seam double, tight double, gap double, pen double, cont double, slide double, ord struct<i: long>")
     leg = lambda p, q: seam.get((p, q), -seam[q, p] if (q, p) in seam else None)
     want = {(a, b): sum(x not in (a, b) and None not in (leg(a, x), leg(x, b)) and abs(leg(a, x) + leg(x, b) - s) <= 4 for x in range(12)) for (a, b), s in seam.items()}
     got = classified_joins(cand, TierRule(), 4.0).collect()

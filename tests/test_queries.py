@@ -22,7 +22,7 @@ def con():
 
 def shown(df: pd.DataFrame) -> list:
     def one(x):
-        if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+        if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return "null"
         return f"{x:.5g}" if isinstance(x, float) else str(x)
 

@@ -21,7 +21,7 @@ def nearest_any(left: DataFrame, right: DataFrame, key: str, ident: str, radius:
     right = right.select(key, ident, *AXES)
     found = None
     for _ in range(most):
-        near = ball_join(left, right, radius).where(F.col(f"l.{key}") == F.col(f"r.{key}"))
+        near = ball_join(left, right, radius, key)
         best = near.groupBy(F.col(f"l.{key}").alias(key), F.col(f"l.{ident}").alias(ident)).agg(F.min(F.struct("d", F.col(f"r.{ident}").alias("other"))).alias("m"))
         new = written(best.select(key, ident, "m.other", "m.d"))
         found = new if found is None else found.unionByName(new)

@@ -34,13 +34,15 @@ def with_dihedral(pts: DataFrame) -> DataFrame:
     return pts.withColumn("dih", angle_deg(dot(["nx", "ny", "nz"], ["fx", "fy", "fz"])))
 
 
-def dihedral_hypotheses(pts: DataFrame, tol: float) -> DataFrame:
-    """a, b, ia, ib, off: point pairs of fragments a < b whose dihedral angles complement each other to 180 within tol.
+def dihedral_hypotheses(pts: DataFrame, pairs: DataFrame, tol: float) -> DataFrame:
+    """a, b, ia, ib, off: point pairs of the fragments of pairs(a, b) whose dihedral angles complement each other to 180 within tol.
 
-    The theta join is an equi-join on bands of the angle, each row visiting three.
+    The theta join is an equi-join on the pair and a band of the angle, each row
+    visiting three, so only points of pairs that are left meet.
     """
     d = with_dihedral(pts)
-    left = d.select(F.col("frag").alias("a"), F.col("vid").alias("ia"), F.col("dih").alias("da"), F.explode(F.array(*[F.floor(F.col("dih") / tol) + k for k in (-1, 0, 1)])).alias("band"))
+    left = d.select(F.col("frag").alias("a"), F.col("vid").alias("ia"), F.col("dih").alias("da")).join(pairs.select("a", "b"), "a")
+    left = left.withColumn("band", F.explode(F.array(*[F.floor(F.col("da") / tol) + k for k in (-1, 0, 1)])))
     right = d.select(F.col("frag").alias("b"), F.col("vid").alias("ib"), F.col("dih").alias("db"), F.floor((180 - F.col("dih")) / tol).alias("band"))
     off = F.col("da") + F.col("db") - 180
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.abs(off) < tol)).select("a", "b", "ia", "ib", off.alias("off"))
+    return left.join(right, ["b", "band"]).where(F.abs(off) < tol).select("a", "b", "ia", "ib", off.alias("off"))

@@ -55,12 +55,13 @@ _dih = "degrees(acos(greatest(-1, least(1, nx*fx + ny*fy + nz*fz))))"
 
 @query(
     "hypotheses_dihedral",
-    f"""WITH {POINTS_SQL}, d AS (SELECT frag, vid, {_dih} AS dih FROM pts)
+    f"""WITH {FRAGMENTS_SQL}, d AS (SELECT frag, vid, t, {_dih} AS dih FROM pts JOIN frags USING (frag))
     SELECT a.frag AS a, b.frag AS b, count(*) AS n_hypotheses, round(avg(abs(a.dih + b.dih - 180)), 6) AS mean_off
-    FROM d a JOIN d b ON a.frag < b.frag AND abs(a.dih + b.dih - 180) < 2.0 GROUP BY 1, 2""",
+    FROM d a JOIN d b ON a.frag < b.frag AND a.t / b.t BETWEEN 1 / {RATIO} AND {RATIO} AND abs(a.dih + b.dih - 180) < 2.0 GROUP BY 1, 2""",
 )
 def hypotheses_dihedral(spark, sf_dir):
-    h = pairs.dihedral_hypotheses(points(spark, sf_dir), 2.0)
+    p = points(spark, sf_dir)
+    h = pairs.dihedral_hypotheses(p, pairs.wall_ratio_pairs(fragments(p), RATIO), 2.0)
     return rounded(h.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_hypotheses"), F.avg(F.abs("off")).alias("mean_off")), "mean_off")
 
 

@@ -32,28 +32,31 @@ PIECE, QUERY_EVERY = 512, 50
 _CHUNK, _LANES, _WIDE = 32_767, 0x0001000100010001, 0x0000FFFF0000FFFF
 
 
-def _terms(text: Column, size: int) -> Column:
-    """The runs of ``size`` words, a struct of their hashes each; a text with fewer words is one run, one without words has none."""
+def _words(text: Column) -> Column:
+    """The hashes of the words of the text in lower case."""
     flat = F.lower(text)
     for space in "\t\n\x0b\x0c\r":
         flat = F.replace(flat, F.lit(space), F.lit(" "))
-    words = F.transform(F.array_remove(F.split(flat, " "), ""), lambda w: F.xxhash64(w))
-    many = F.greatest(F.size(words) - (size - 1), F.signum(F.size(words)).cast("int"))
-    return F.arrays_zip(*[F.slice(words, F.lit(k + 1), many) for k in range(size)])
+    return F.transform(F.array_remove(F.split(flat, " "), ""), lambda w: F.xxhash64(w))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], size: int = TERM_WORDS) -> DataFrame:
     """keys, f1, f2: the two halves of the fingerprint of each text(keys, text).
 
-    Null and empty texts and those without words have no terms, and no bit set.
-    Keys are unique, or equal only for equal texts, which count once. Other
-    columns are ignored. A table without rows gives none.
+    A text with fewer words than a term is one term. Null and empty texts and
+    those without words have none, and no bit set. Keys are unique, or equal only
+    for equal texts, which count once. Other columns are ignored. A table without
+    rows gives none. Where texts are dealt by some of the keys already, nothing is
+    shuffled.
     """
     own = [f"k{i}" for i in range(len(keys))]
-    numbered = texts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "text", F.monotonically_increasing_id().alias("row"))
-    rows = numbered.select(*own, "row", F.posexplode_outer(_terms(F.col("text"), size)).alias("at", "t"))
+    words = texts.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], _words(F.col("text")).alias("w"), F.monotonically_increasing_id().alias("row"))
+    many = F.greatest(F.size("w") - (size - 1), F.signum(F.size("w")).cast("int"))
+    terms = F.arrays_zip(*[F.slice("w", F.lit(k + 1), many) for k in range(size)])
+    rows = words.select(*own, "row", F.posexplode_outer(terms).alias("at", "t"))
     says = F.col("t").isNotNull()
-    hashes = rows.select(*own, "row", F.expr(f"at div {_CHUNK}").alias("chunk"), says.cast("long").alias("says"), F.when(says, F.xxhash64("t.*")).alias("h0"), F.when(says, F.xxhash64(F.lit(1), "t.*")).alias("h1"))
+    first = rows.select(*own, "row", F.expr(f"at div {_CHUNK}").alias("chunk"), says.cast("long").alias("says"), F.when(says, F.xxhash64("t.*")).alias("h0"))
+    hashes = first.withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0")))
     votes = [F.sum(F.shiftrightunsigned(f"h{i}", k).bitwiseAND(F.lit(_LANES))).alias(f"v{i}_{k}") for i in range(2) for k in range(16)]
     # each row counts its own chunks, as a lane has room for one; those of equal texts are equal
     counted = hashes.groupBy(*own, "row", "chunk").agg(F.sum("says").alias("says"), *votes)
@@ -124,29 +127,39 @@ def within_radius(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, b
     return queries.select("f1", "f2").join(counted, ["f1", "f2"], "left").select("f1", "f2", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_prints", "n_docs")])
 
 
+#: Tells rows apart: 128 bits of the id and the text. Rows that repeat another wholly have its key.
+KEY = ["k1", "k2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with the columns of KEY, and null texts empty."""
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text")]
+    return d.select("doc_id", "text", F.xxhash64(*both).alias("k1"), F.xxhash64(F.lit(1), *both).alias("k2"))
+
+
 def followers(rows: DataFrame) -> DataFrame:
-    """doc_id, h, n_chars, next_id, next_h: the next of rows(doc_id, h, n_chars) in descending doc_id, then h; the first follows the last.
+    """k1, k2, n_chars and n1, n2 (the next row's key) for rows(doc_id, KEY, n_chars) in descending doc_id, then by key; the first follows the last.
 
-    Rows are told apart by id and hash of the text; null ids come last. The order
-    is Spark's range partitioning, written once; the last row of each partition is
-    led to the first of the next one by a table with a row for each partition.
+    Repeated rows count once, and null ids come last. The order is Spark's range
+    partitioning, written once; the last row of each partition is led to the
+    first of the next one by a table with a row for each partition.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("h")]
+    order = [F.col("doc_id").desc_nulls_last(), *KEY]
     ranked = stored(rows.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "ranked")
     parts = ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
     ends = parts.select("last", F.expr("coalesce(lead(first) over (order by part), min(first) over ())").alias("after"))
-    led = ranked.join(ends, ranked["at"] == ends["last"], "left").select("doc_id", "h", "n_chars", F.coalesce("after", F.col("at") + 1).alias("to"))
-    return led.join(ranked.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("at").alias("to")), "to").drop("to")
+    led = ranked.join(ends, ranked["at"] == ends["last"], "left").select(*KEY, "n_chars", F.coalesce("after", F.col("at") + 1).alias("to"))
+    return led.join(ranked.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("at").alias("to")), "to").drop("to")
 
 
 def edited_texts(docs: DataFrame, led: DataFrame) -> DataFrame:
-    """doc_id, h, edited: each text of docs(doc_id, h, text), the last half replaced by the start of the next one. Repeated rows count once."""
-    half = F.expr("n_chars div 2")
-    starts = docs.join(led, docs["doc_id"].eqNullSafe(led["next_id"]) & (docs["h"] == led["next_h"])).select(led["doc_id"], led["h"], F.substring("text", F.lit(1), half).alias("start"))
-    starts = starts.groupBy("doc_id", "h").agg(F.min("start").alias("start")).alias("s")
-    own = docs.alias("d").join(starts, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.h") == F.col("s.h")))
-    n = F.length("d.text")
-    return own.select("d.doc_id", "d.h", F.concat(F.substring("d.text", F.lit(1), n - F.floor(n / 2).cast("int")), "s.start").alias("edited"))
+    """docs(doc_id, KEY, text) with edited: the text, its last half replaced by the start of the next one. Rows are dealt by KEY."""
+    back = led.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), (F.expr("n_chars div 2")).cast("int").alias("half"), F.col("n1").alias("k1"), F.col("n2").alias("k2"))
+    starts = docs.join(back, KEY).select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.substring("text", F.lit(1), F.col("half")).alias("start"))
+    starts = starts.groupBy(*KEY).agg(F.min("start").alias("start"))  # of repeated rows
+    n = F.length("text")
+    return docs.join(starts, KEY).select("doc_id", *KEY, "text", F.concat(F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int")), "start").alias("edited"))
 
 
 def op11_simhash(spark, sf_dir):
@@ -156,24 +169,24 @@ def op11_simhash(spark, sf_dir):
     same result each. Likeness is the share of equal bits; 1 for two texts
     without words.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = stored(docs.select("doc_id", "h", F.length("text").cast("long").alias("n_chars")), "rows")
+    docs = keyed(table(spark, sf_dir, "documents"))
+    rows = stored(docs.select("doc_id", *KEY, F.length("text").cast("long").alias("n_chars")), "rows")
     led = stored(followers(rows), "led")
-    own = stored(fingerprints(docs, ["doc_id", "h"]), "prints")
-    edited = edited_texts(docs, led).select("doc_id", "h", F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text"))
-    changed = fingerprints(edited, ["doc_id", "h", "sha"])
-
-    same = lambda a, b, i="doc_id", h="h": F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.{i}")) & (F.col(f"{a}.h") == F.col(f"{b}.{h}"))
-    after = led.alias("l").join(own.alias("n"), F.col("l.next_id").eqNullSafe(F.col("n.doc_id")) & (F.col("l.next_h") == F.col("n.h"))).select("l.doc_id", "l.h", F.col("n.f1").alias("n1"), F.col("n.f2").alias("n2"))
-    told = rows.alias("r").join(own.alias("o"), same("r", "o")).join(changed.alias("c"), same("r", "c")).join(after.alias("a"), same("r", "a"))
-    like = lambda a, b: 1 - distance(F.col("o.f1"), F.col("o.f2"), F.col(a), F.col(b)) / 128.0
-    told = told.select("r.doc_id", "r.n_chars", F.col("c.sha").alias("edited_sha256"), "o.f1", "o.f2", F.col("c.f1").alias("c1"), F.col("c.f2").alias("c2"), like("c.f1", "c.f2").alias("near_edited"), like("a.n1", "a.n2").alias("near_next"))
-
-    marked = rows.join(own, ["doc_id", "h"]).select("doc_id", "f1", "f2")
-    prints = rows.alias("r").join(own.alias("o"), same("r", "o")).groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("docs"))
-    near = within_radius(prints, marked.where(F.col("doc_id") % QUERY_EVERY == 0).select("f1", "f2").distinct())
+    edited = edited_texts(docs, led)
+    both = F.array(F.struct(F.lit(None).cast("binary").alias("sha"), "text"), F.struct(F.unhex(F.sha2("edited", 256)).alias("sha"), F.col("edited").alias("text")))
+    texts = edited.select(*KEY, F.explode(both).alias("t")).select(*KEY, "t.sha", "t.text")
+    prints = stored(fingerprints(texts, [*KEY, "sha"]), "prints")
+    own, changed = prints.where("sha is null").drop("sha"), prints.where("sha is not null").select(*KEY, "sha", F.col("f1").alias("c1"), F.col("f2").alias("c2"))
+
+    after = led.select(*KEY, "n1", "n2").join(own.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("f1").alias("a1"), F.col("f2").alias("a2")), ["n1", "n2"]).drop("n1", "n2")
+    like = lambda x, y: 1 - distance(F.col("f1"), F.col("f2"), F.col(x), F.col(y)) / 128.0
+    told = own.join(changed, KEY).join(after, KEY).select(*KEY, "sha", "f1", "f2", "c1", "c2", like("c1", "c2").alias("near_edited"), like("a1", "a2").alias("near_next"))
+    told = stored(rows.join(told, KEY).drop(*KEY), "told")
+
     asked = F.coalesce(F.col("doc_id") % QUERY_EVERY == 0, F.lit(False))
-    return told.join(near, ["f1", "f2"], "left").select(
-        "doc_id", "n_chars", "edited_sha256", shown("f1", "f2").alias("fingerprint"), shown("c1", "c2").alias("edited_fingerprint"), "near_edited", "near_next",
-        F.when(asked, F.col("n_prints")).alias("within_prints"), F.when(asked, F.col("n_docs")).alias("within_docs"),
+    near = within_radius(told.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("docs")), told.where(asked).select("f1", "f2").distinct())
+    found = told.where(asked).join(near, ["f1", "f2"]).unionByName(told.where(~asked), allowMissingColumns=True)
+    return found.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), shown("f1", "f2").alias("fingerprint"), shown("c1", "c2").alias("edited_fingerprint"), "near_edited", "near_next",
+        F.col("n_prints").alias("within_prints"), F.col("n_docs").alias("within_docs"),
     )

@@ -18,12 +18,14 @@ def brute_print(text, size=3):
     words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w]
     terms = [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
     out = []
-    for salt in ((), (1,)):
+    for half in range(2):
         votes = [0] * 64
         for t in terms:
             seed = 42
-            for n, x in enumerate([*salt, *t]):  # Spark hashes an int in 4 bytes, a long in 8, each with the one before as seed
-                seed = xxhash.xxh64_intdigest(x.to_bytes(4 if salt and n == 0 else 8, "little"), seed)
+            for x in t:  # Spark hashes each value with the hash before as seed
+                seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed)
+            if half:
+                seed = xxhash.xxh64_intdigest(seed.to_bytes(8, "little"), 42)
             for b in range(64):
                 votes[b] += 1 if seed >> b & 1 else -1
         out.append(sum(1 << b for b in range(64) if votes[b] > 0))
@@ -32,7 +34,11 @@ def brute_print(text, size=3):
 
 def edited(rows):
     """(doc_id, text) -> edited text; rows are distinct."""
-    key = lambda r: (r[0] is None, -(r[0] or 0), (xxhash.xxh64_intdigest(r[1].encode(), 42) + (1 << 63)) & U)
+    def key(r):
+        h = "" if r[0] is None else str(r[0])
+        h = xxhash.xxh64_intdigest(r[1].encode(), xxhash.xxh64_intdigest(h.encode(), 42))
+        return r[0] is None, -(r[0] or 0), (h + (1 << 63)) & U
+
     order = sorted({(r[0], r[1] or "") for r in rows}, key=key)
     return {r: r[1][: len(r[1]) - len(r[1]) // 2] + order[(i + 1) % len(order)][1][: len(r[1]) // 2] for i, r in enumerate(order)}, {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +103,15 @@ def digits_label(name: str | Column) -> Column:
 def within(a: Column, low: float, high: float) -> Column:
     """False, not null, for null and NaN."""
     return F.coalesce(~F.isnan(a) & (a >= low) & (a <= high), F.lit(False))
+
+
+def fixed(c: str | Column, digits: int) -> Column:
+    """A number with so many digits behind the point (one at least), rounded from its exact binary value; NaN, inf and -inf. Null stays null."""
+    x = col(c).cast("double")
+    half = Decimal(5).scaleb(-digits - 1)
+    # half a unit of the last digit is no binary number: the nearest one lies on either side of it
+    up = (F.abs(x) >= float(half)) if Decimal(float(half)) > half else (F.abs(x) > float(half))
+    # a number under the last digit is settled here, as the formatter takes its shortest decimal form for the number
+    small = F.concat(F.when(F.startswith(x.cast("string"), F.lit("-")), "-").otherwise(""), F.lit("0." + "0" * (digits - 1)), F.when(up, "1").otherwise("0"))
+    text = F.when(F.abs(x) < 10.0**-digits, small).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)))
+    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.functions.columns import col
+from terrafold.functions.columns import col, fixed
 
 #: The head of joins.csv and what a file begins with, fixed values.
 BOM = "\ufeff"
@@ -27,10 +27,22 @@ def html_text(c: str | Column) -> Column:
 
 
 def python_float(c: str | Column) -> Column:
-    """A number as Python's str() has it, up to 1e16: a whole number with .0, others with the fewest digits; nan, inf and -inf."""
+    """A number as Python's str() has it: positional from 1e-4 to under 1e16, else with an exponent of two digits at least; nan, inf and -inf."""
     x = col(c).cast("double")
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e16)
-    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(whole, F.concat(x.cast("decimal(17,0)").cast("string"), F.lit(".0"))).otherwise(F.lower(x.cast("string")))
+    text = x.cast("string")
+    part = lambda i: F.regexp_extract(text, r"^-?(\d+)\.(\d+)(?:E(-?\d+))?$", i)
+    whole, behind, power = part(1), part(2), F.try_to_number(part(3), F.lit("S999")).cast("int")
+    zeros = F.length(behind) - F.length(F.ltrim(behind, F.lit("0")))
+    # of the first digit that isn't 0
+    place = F.when(power.isNotNull(), power).when(whole != "0", F.length(whole) - 1).otherwise(-zeros - 1)
+    digits = F.rtrim(F.ltrim(F.concat(whole, behind), F.lit("0")), F.lit("0"))
+    rest = lambda skip: F.substring(digits, skip + 1, F.length(digits))
+    large = F.concat(F.rpad(F.substring(digits, F.lit(1), place + 1), place + 1, F.lit("0")), F.lit("."), F.when(F.length(digits) > place + 1, rest(place + 1)).otherwise("0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -place - 1), digits)
+    tail = F.when(F.length(digits) > 1, F.concat(F.lit("."), rest(F.lit(1)))).otherwise("")
+    sized = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), F.when(place < 0, "-").otherwise("+"), F.when(F.abs(place) < 10, "0").otherwise(""), F.abs(place).cast("string"))
+    shown = F.when(x == 0, "0.0").when((place < -4) | (place > 15), sized).when(place < 0, small).otherwise(large)
+    return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), shown))
 
 
 def python_bool(c: str | Column) -> Column:
@@ -40,8 +52,7 @@ def python_bool(c: str | Column) -> Column:
 def join_lines(joins: DataFrame) -> DataFrame:
     """a, b, band_rank, score, line: joins(a, b, name_a, name_b, tier, in_assembly, grp, score, seam, tight, gap, cont, pen) as lines of joins.csv; rejected ones have none."""
     j = joins.where("tier in ('confirmed', 'probable')")
-    f = lambda c, n: F.format_string(f"%.{n}f", col(c).cast("double"))
-    parts = [csv_field("name_a"), csv_field("name_b"), F.col("tier"), F.col("in_assembly").cast("int").cast("string"), F.coalesce(F.col("grp").cast("string"), F.lit("")), f("score", 3), f("seam", 2), f("tight", 3), f("gap", 4), f("cont", 3), f("pen", 4)]
+    parts = [csv_field("name_a"), csv_field("name_b"), F.col("tier"), F.col("in_assembly").cast("int").cast("string"), F.coalesce(F.col("grp").cast("string"), F.lit("")), fixed("score", 3), fixed("seam", 2), fixed("tight", 3), fixed("gap", 4), fixed("cont", 3), fixed("pen", 4)]
     return j.select("a", "b", F.when(F.col("tier") == "confirmed", 0).otherwise(1).alias("band_rank"), "score", F.concat_ws(",", *parts).alias("line"))
 
 

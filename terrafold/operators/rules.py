@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.columns import pair_key
+from terrafold.functions.columns import fixed, pair_key
 from terrafold.operators.graph import written
 from terrafold.params import Acceptance, TierRule
 
@@ -27,15 +27,15 @@ def acceptance_tests(rule: Acceptance) -> dict[str, Column]:
 def refusal_reasons(cand: DataFrame, rule: Acceptance) -> DataFrame:
     """cand with ``reasons``, an array with a sentence for each test that fails (a value that can't be measured fails)."""
     said = {"tight": f"below {rule.min_tight}", "gap": f"above {rule.max_gap}", "pen": f"above {rule.max_pen}", "seam": f"below {rule.min_seam}", "cont": f"below {rule.min_cont}"}
-    reasons = F.array(*[F.when(~ok, F.concat(F.lit(f"{k} "), F.when(F.col(k).isNull(), "unknown").otherwise(F.format_string("%.3f", k)), F.lit(f" {said[k]}"))) for k, ok in acceptance_tests(rule).items()])
+    reasons = F.array(*[F.when(~ok, F.concat(F.lit(f"{k} "), F.when(F.col(k).isNull(), "unknown").otherwise(fixed(k, 3)), F.lit(f" {said[k]}"))) for k, ok in acceptance_tests(rule).items()])
     return cand.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull()))
 
 
 def reason_parts(refused: DataFrame) -> DataFrame:
-    """refused (with ``reasons``) as a row for each sentence: test, value (null if unknown), side (below or above) and limit."""
+    """refused (with ``reasons``) as a row for each sentence: test, value (null if unknown, NaN if it was that), side (below or above) and limit."""
     r = refused.withColumn("reason", F.explode("reasons"))
     part = lambda i: F.regexp_extract("reason", r"^(\w+) (\S+) (below|above) (\S+)$", i)
-    return r.select(*[c for c in refused.columns if c != "reasons"], part(1).alias("test"), F.try_to_number(part(2), F.lit("99999999.999")).cast("double").alias("value"), part(3).alias("side"), part(4).cast("double").alias("bound"))
+    return r.select(*[c for c in refused.columns if c != "reasons"], part(1).alias("test"), part(2).try_cast("double").alias("value"), part(3).alias("side"), part(4).cast("double").alias("bound"))
 
 
 def classify(cand: DataFrame, rule: TierRule) -> DataFrame:
@@ -98,7 +98,7 @@ def promoted(best: DataFrame, forced: DataFrame) -> DataFrame:
     a, b = pair_key("a", "b")
     f = forced.select(a.alias("a"), b.alias("b")).distinct()
     j = f.join(best.select("a", "b", "score", F.col("tier").alias("was")), ["a", "b"], "left")
-    said = F.when(F.col("was").isNull(), "unsatisfiable: no candidate is accepted").when(F.col("was") == "confirmed", F.format_string("already confirmed at score %.2f", "score")).otherwise(F.format_string("promoted from %s to confirmed at score %.2f", "was", "score"))
+    said = F.when(F.col("was").isNull(), "unsatisfiable: no candidate is accepted").when(F.col("was") == "confirmed", F.concat(F.lit("already confirmed at score "), fixed("score", 2))).otherwise(F.concat(F.lit("promoted from "), F.col("was"), F.lit(" to confirmed at score "), fixed("score", 2)))
     return j.select("a", "b", F.col("was").isNotNull().alias("satisfied"), F.when(F.col("was").isNotNull(), "confirmed").alias("tier"), said.alias("said"))
 
 

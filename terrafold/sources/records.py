@@ -13,14 +13,15 @@ _PAIRS = "array<array<string>>"
 def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     """path, list, name_a, name_b, pose (sixteen doubles, or null), error: a row for each pair of each file.
 
-    A file whose version isn't VERSION, or that isn't JSON, has one row with an
-    error and no pair. A pair of must_join may be a list of two names or an
+    A file whose version isn't VERSION, that isn't JSON or that has an unknown
+    field has one row with an error and no pair; a pair without two names has a
+    row with an error and the names that it has. A pair of must_join may be a list of two names or an
     object with a, b and pose.
     """
     files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path"))
     schema = f"version int, must_join array<string>, {', '.join(f'{k} {_PAIRS}' for k in _LISTS[1:])}, _bad string"
-    r = files.select("path", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    fault = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("r.version").isNull(), "not a constraints file").when(F.col("r.version") != VERSION, F.concat(F.lit("version "), F.col("r.version").cast("string"), F.lit(f", not {VERSION}")))
+    r = files.select("path", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"), F.array_except(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.array(F.lit("version"), *map(F.lit, _LISTS))).alias("unknown"))
+    fault = F.when(F.col("r").isNull() | F.col("r._bad").isNotNull() | F.col("r.version").isNull(), "not a constraints file").when(F.col("r.version") != VERSION, F.concat(F.lit("version "), F.col("r.version").cast("string"), F.lit(f", not {VERSION}"))).when(F.size("unknown") > 0, F.concat(F.lit("unknown field "), F.array_join("unknown", ", ")))
     r = r.withColumn("error", fault)
     bad = r.where("error is not null").select("path", *[F.lit(None).cast("string").alias(c) for c in ("list", "name_a", "name_b")], F.lit(None).cast("array<double>").alias("pose"), "error")
     good = r.where("error is null")
@@ -28,8 +29,11 @@ def read_constraints(spark: SparkSession, path: str) -> DataFrame:
     must = good.select("path", F.explode("r.must_join").alias("x"))
     pair, pinned = F.from_json("x", "array<string>"), F.from_json("x", "a string, b string, pose array<array<double>>")
     listed = F.startswith(F.ltrim("x"), F.lit("["))
-    must = must.select("path", F.lit("must_join").alias("list"), F.when(listed, pair[0]).otherwise(pinned["a"]).alias("name_a"), F.when(listed, pair[1]).otherwise(pinned["b"]).alias("name_b"), F.when(~listed, F.flatten(pinned["pose"])).alias("pose"), none.alias("error"))
-    rest = [good.select("path", F.lit(k).alias("list"), F.explode(f"r.{k}").alias("x")).select("path", "list", F.col("x")[0].alias("name_a"), F.col("x")[1].alias("name_b"), F.lit(None).cast("array<double>").alias("pose"), none.alias("error")) for k in _LISTS[1:]]
+    short = lambda a, b, n: F.when(a.isNull() | b.isNull() | (n > 2), "a pair has two names").otherwise(none)
+    one, two = F.when(listed, F.get(pair, F.lit(0))).otherwise(pinned["a"]), F.when(listed, F.get(pair, F.lit(1))).otherwise(pinned["b"])
+    must = must.select("path", F.lit("must_join").alias("list"), one.alias("name_a"), two.alias("name_b"), F.when(~listed, F.flatten(pinned["pose"])).alias("pose"), short(one, two, F.when(listed, F.size(pair)).otherwise(2)).alias("error"))
+    name = lambda i: F.get("x", F.lit(i))
+    rest = [good.select("path", F.lit(k).alias("list"), F.explode(f"r.{k}").alias("x")).select("path", "list", name(0).alias("name_a"), name(1).alias("name_b"), F.lit(None).cast("array<double>").alias("pose"), short(name(0), name(1), F.size("x")).alias("error")) for k in _LISTS[1:]]
     for x in rest:
         must = must.unionByName(x)
     return must.unionByName(bad)

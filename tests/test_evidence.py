@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import poses as P
+from terrafold.functions.columns import fixed
 from terrafold.operators import assembly, evidence, exports, progress
 from terrafold.sources import mesh, records
 
@@ -81,14 +82,25 @@ def test_poses_against_matrices(spark):
 
 
 def test_numbers_and_fields(spark):
-    values = [0.0, 1.0, -3.0, 0.1, 123456.0, 1e15, 2.5, float("nan"), float("inf")]
+    values = [0.0, -0.0, 1.0, -3.0, 0.1, 123456.0, 1e15, 1e16, 1.5e16, 123456789012345.6, 2.5, 1e-4, 1.25e-4, 1e-5, -2.5e-7, 0.001, 0.00123, 1e100, -3.25e-300, 12345678.0, 1e7, 9999999.5, float("nan"), float("inf"), float("-inf")]
     df = spark.createDataFrame([(x,) for x in values], "x double").coalesce(1)
     assert [r[0] for r in df.select(exports.python_float("x")).collect()] == [str(x) for x in values]
+    near = [6999.0305, 1300.1205, 0.0005, 0.0015, 0.0004, -0.0007, -0.0001, 0.9995, 2.5, -0.1, 1234567.8915, 0.0625, 2.0005, None]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in near], "x double").coalesce(1).select(fixed("x", 3)).collect()] == [None if x is None else f"{x:.3f}" for x in near]
     t = spark.createDataFrame([("a",), ('b"c',), ("d,e",), ("f\ng",), (None,)], "t string").coalesce(1)
     assert [r[0] for r in t.select(exports.csv_field("t")).collect()] == ["a", '"b""c"', '"d,e"', '"f\ng"', ""]
     assert t.select(exports.html_text(F.lit('<a & "b">'))).first()[0] == "&lt;a &amp; &quot;b&quot;&gt;"
 
 
+def test_reasons_are_read_back(spark):
+    from terrafold.operators import rules
+    from terrafold.params import Acceptance
+
+    df = spark.createDataFrame([(1, -0.1, float("nan"), 0.5, None, 0.9)], "id long, tight double, gap double, pen double, seam double, cont double")
+    got = {r["test"]: r["value"] for r in rules.reason_parts(rules.refusal_reasons(df, Acceptance())).collect()}
+    assert got["tight"] == -0.1 and np.isnan(got["gap"]) and got["pen"] == 0.5 and got["seam"] is None and len(got) >= 4
+
+
 def test_transform_lines_and_files(spark, tmp_path):
     eye = [1.0, 0.0, 0.0, 0.5, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
     n = spark.createDataFrame([(1, "x", "x.ply", 0, eye), (2, "y,z", "y.obj", None, eye)], "node long, name string, source string, grp long, pose array<double>")
@@ -107,10 +119,12 @@ def test_constraints_and_ground_truth(spark, tmp_path):
     (tmp_path / "c/a.json").write_text(json.dumps({"version": 1, "must_join": [["p", "q"], {"a": "p", "b": "r", "pose": eye}], "must_not_join": [["q", "r"]]}))
     (tmp_path / "c/b.json").write_text(json.dumps({"version": 7, "must_join": [["p", "q"]]}))
     (tmp_path / "c/c.json").write_text("no json")
+    (tmp_path / "c/d.json").write_text(json.dumps({"version": 1, "must_join": [["p"]], "same_object": [["q"], ["p", "q", "r"], []]}))
+    (tmp_path / "c/e.json").write_text(json.dumps({"version": 1, "must_joint": [["p", "q"]]}))
     got = records.read_constraints(spark, f"{tmp_path}/c").collect()
     assert sorted((r["list"], r["name_a"], r["name_b"]) for r in got if r["error"] is None) == [("must_join", "p", "q"), ("must_join", "p", "r"), ("must_not_join", "q", "r")]
     assert [r["pose"] for r in got if r["name_b"] == "r" and r["list"] == "must_join"] == [np.eye(4).ravel().tolist()]
-    assert sorted(r["error"] for r in got if r["error"]) == ["not a constraints file", "version 7, not 1"]
+    assert sorted(r["error"] for r in got if r["error"]) == [*["a pair has two names"] * 4, "not a constraints file", "unknown field must_joint", "version 7, not 1"]
     (tmp_path / "g.json").write_text(json.dumps({"fragments": {"p": {"matrix": eye}, "q": {"matrix": eye}}, "object_of": {"p": "pot"}, "adjacency": [["q", "p"]]}))
     poses, pairs = records.read_ground_truth(spark, f"{tmp_path}/g.json")
     assert sorted((r["name"], r["object"], len(r["pose"])) for r in poses.collect()) == [("p", "pot", 12), ("q", None, 12)]

@@ -44,30 +44,61 @@ def component_areas(components: DataFrame, areas: DataFrame, least: float) -> Da
     return g.withColumn("kept", F.col("area") >= least)
 
 
-def support_counts(best: DataFrame, tol: float | None = None) -> DataFrame:
+def support_counts(best: DataFrame, tol: float | None = None, band: int = 256) -> DataFrame:
     """a, b, support: nodes x for which (a, x) and (x, b) are edges too.
 
     With ``tol``, x counts only where the path over x places b within tol of
-    where the edge does (its shift, from a to b with a < b).
-    Edges run from the smaller to the larger degree, so a hub is the middle of
-    few paths; each triangle is found once and counts for its three edges.
+    where the edge does (its shift, from a to b with a < b). Edges are distinct.
+
+    Nodes are dealt to bands of about ``band``. A node's neighbours in a band are
+    one row, and what three bands have between them meets in one group of bounded
+    size: the neighbours in the third of nodes in the first and of nodes in the
+    second, and the edges between those. So rows are shuffled for lists, not for
+    paths of two edges, of which a near-complete graph has the most.
     """
-    deg = both_ends(best).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    shift = ["shift"] * (tol is not None)
-    e = best.select("a", "b", *shift).join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a").join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b")
-    a_first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    d = e.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("v"), *shift)
-    x, y = d.alias("x"), d.alias("y")
-    wedge = x.join(y, F.col("x.u") == F.col("y.u")).where(F.col("x.v") < F.col("y.v")).select(F.col("x.u").alias("u"), F.col("x.v").alias("v"), F.col("y.v").alias("w"), *[F.col(f"{p}.shift").alias(f"u{q}") for p, q in (("x", "v"), ("y", "w")) for _ in shift])
-    closing = best.select(F.col("a").alias("v"), F.col("b").alias("w"), *[F.col(c).alias("vw") for c in shift])
-    t = wedge.join(closing, ["v", "w"])
-    if tol is not None:
-        # from u to v, on to w and back again; an edge is walked backwards where its first node is the larger
-        way = lambda p, q: F.when(F.col(p) < F.col(q), F.col(f"{p}{q}")).otherwise(-F.col(f"{p}{q}"))
-        t = t.where(F.abs(way("u", "v") + F.col("vw") - way("u", "w")) <= tol)
-    pair = lambda p, q: F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
-    counted = t.select(F.explode(F.array(pair("u", "v"), pair("u", "w"), pair("v", "w"))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("support"))
-    return best.select("a", "b").join(counted, ["a", "b"], "left").select("a", "b", F.coalesce("support", F.lit(0)).alias("support"))
+    kind = dict(best.dtypes)["a"]
+    shift = F.col("shift").cast("double") if tol is not None else F.lit(0.0)
+    e = written(best.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), shift.alias("s")))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n")).first()[0]
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, nodes // band))).alias(f"b{c}")
+    both = e.select(F.col("a").alias("n"), F.col("b").alias("x"), "s").unionByName(e.select(F.col("b").alias("n"), F.col("a").alias("x"), (-F.col("s")).alias("s")))
+    packed = lambda df, *keys: df.groupBy(*keys).agg(F.collect_list(F.struct("x", "s")).alias("l")).select(*[k if isinstance(k, str) else "bx" for k in keys], F.col("l.x").alias("x"), F.col("l.s").alias("s"))
+    near = written(packed(both, "n", of("x")))
+    ends = packed(e.select(F.col("a").alias("n"), F.col("b").alias("x"), "s"), "n", of("x")).select("n", F.col("bx").alias("bb"), F.col("x").alias("end"), F.col("s").alias("at"))
+    first = near.join(ends, "n").select(of("n").alias("ba"), "bb", "bx", F.col("n"), "x", "s", "end", "at")
+    met = e.select(F.col("b").alias("n"), of("a")).distinct()
+    none = lambda c: F.lit(None).cast(dict(first.dtypes)[c]).alias(c)
+    second = near.join(met, "n").select("ba", of("n").alias("bb"), "bx", "n", "x", "s", none("end"), none("at"))
+
+    def count(g):
+        import numpy as np
+        import pandas as pd
+
+        theirs = g[g["end"].isna()]
+        own = g[g["end"].notna()]
+        out = []
+        if len(theirs) and len(own):
+            xs = np.unique(np.concatenate(theirs.x.to_list()))
+            row = {n: i for i, n in enumerate(theirs.n.tolist())}
+            far = np.full((len(theirs), len(xs)), np.nan)  # from x to the node
+            for i, (x, s) in enumerate(zip(theirs.x, theirs.s)):
+                far[i, np.searchsorted(xs, x)] = -np.asarray(s)
+            for n, x, s, end, at in zip(own.n, own.x, own.s, own["end"], own["at"]):
+                x, s = np.asarray(x), np.asarray(s)
+                i = np.minimum(np.searchsorted(xs, x), len(xs) - 1)
+                known = xs[i] == x
+                to = np.array([row.get(b, -1) for b in end.tolist()])
+                some = to >= 0
+                gap = np.abs(far[np.ix_(to[some], i[known])] + s[known] - np.asarray(at)[some, None])
+                c = ((gap <= tol) if tol is not None else ~np.isnan(gap)).sum(1)
+                hit = c > 0
+                out.append((np.full(int(hit.sum()), n), np.asarray(end)[some][hit], c[hit]))
+        a, b, c = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
+        return pd.DataFrame({"a": a, "b": b, "c": c})
+
+    parts = first.unionByName(second).groupBy("ba", "bb", "bx").applyInPandas(lambda _, g: count(g), "a long, b long, c long")
+    counted = parts.groupBy("a", "b").agg(F.sum("c").alias("support"))
+    return e.select("a", "b").join(counted, ["a", "b"], "left").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), F.coalesce("support", F.lit(0)).alias("support"))
 
 
 def disagreeing_edges(best: DataFrame, limit: float) -> DataFrame:

@@ -20,20 +20,25 @@ def ranked_chains(links: DataFrame) -> DataFrame:
     """
     first = F.col("prev").isNull()
     links = written(links.select("item", "prev"))
-    done = links.where(first).select("item", F.col("item").alias("head"), F.lit(0).cast("long").alias("pos"))
-    todo = written(links.where(~first).select("item", F.col("prev").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("prev").alias("low")))
+    # low is the smallest item behind, and null for items whose way has ended at their head
+    state = links.select("item", F.coalesce("prev", "item").alias("up"), F.when(first, 0).otherwise(1).cast("long").alias("dist"), F.col("prev").alias("low"))
     rings = None
-    while not todo.isEmpty():
-        ends = todo.where("low = item").select(F.col("item").alias("low"))
-        if todo.join(ends, "low", "left_anti").isEmpty():
-            cut = ends.select(F.col("low").alias("item"), F.lit(True).alias("cut"))
-            rings = links.join(todo.select("item"), "item").join(cut, "item", "left").select("item", F.when(F.col("cut").isNull(), F.col("prev")).alias("prev"))
+    while True:
+        state = written(state)
+        left = state.agg(F.count("low").alias("open"), F.count_if(F.col("low") == F.col("item")).alias("ends")).first()
+        if not left["open"]:
             break
-        back = done.select(F.col("item").alias("up"), F.col("head").alias("far"), F.col("pos").alias("more"), F.lit(None).cast(todo.schema["low"].dataType).alias("behind")).unionByName(todo.select(F.col("item").alias("up"), F.col("up").alias("far"), F.col("dist").alias("more"), F.col("low").alias("behind")))
-        step = written(todo.join(back, "up").select("item", F.col("far").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.when(F.col("behind").isNotNull(), F.least("low", "behind")).alias("low")))
-        done = done.unionByName(step.where("low is null").select("item", F.col("up").alias("head"), F.col("dist").alias("pos")))
-        todo = step.where("low is not null")
-    out = done.withColumn("closed", F.lit(False))
+        todo = state.where("low is not null")
+        if left["ends"]:
+            ends = todo.where("low = item").select(F.col("item").alias("low"))
+            if todo.join(ends, "low", "left_anti").isEmpty():
+                cut = ends.select(F.col("low").alias("item"), F.lit(True).alias("cut"))
+                rings = links.join(todo.select("item"), "item").join(cut, "item", "left").select("item", F.when(F.col("cut").isNull(), F.col("prev")).alias("prev"))
+                break
+        back = state.select(F.col("item").alias("up"), F.col("up").alias("far"), F.col("dist").alias("more"), F.col("low").alias("behind"))
+        step = todo.join(back, "up").select("item", F.col("far").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.when(F.col("behind").isNotNull(), F.least("low", "behind")).alias("low"))
+        state = step.unionByName(state.where("low is null"))
+    out = state.where("low is null").select("item", F.col("up").alias("head"), F.col("dist").alias("pos"), F.lit(False).alias("closed"))
     if rings is not None:
         out = out.unionByName(ranked_chains(rings).withColumn("closed", F.lit(True)))
     return out

@@ -120,21 +120,29 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT
     records.write.option("lineSep", "\r\n").option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+#: Bytes that the decompressor is fed at once.
+_FED = 1 << 14
+
+
 def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
     """What an archive's gzip members hold, one by one, with what is wrong with it; one that isn't compressed comes as it is."""
     if content[:2] != b"\x1f\x8b":
         yield content, None
         return
-    while content[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
+    whole, begin = memoryview(content), 0
+    while whole[begin : begin + 2] == b"\x1f\x8b":
+        # in small pieces, so that what is left behind a member is never copied as a whole
+        d, out, at = zlib.decompressobj(31), [], begin
         try:
-            out = d.decompress(content)
+            while not d.eof and at < len(whole):
+                out.append(d.decompress(whole[at : at + _FED]))
+                at = min(at + _FED, len(whole))
         except zlib.error as e:
             yield b"", f"gzip: {e}"
             return
-        yield out, None if d.eof else "gzip: a member is cut off"
-        content = d.unused_data
-    if content.strip(b"\0"):
+        yield b"".join(out), None if d.eof else "gzip: a member is cut off"
+        begin = at - len(d.unused_data)
+    if bytes(whole[begin:]).strip(b"\0"):
         yield b"", "gzip: other bytes behind a member"
 
 

@@ -118,3 +118,29 @@ def test_damaged_archives_are_rejected_record_by_record(spark):
 def test_clashing_names(spark, tmp_path):
     spark.createDataFrame([(1, "u", "h", "x", "y")], PAGES + ", h string, first_id string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r["page_id"] for r in warc.op2_warc(spark, str(tmp_path)).collect()] == [1]
+
+
+def test_members_are_read_in_linear_time():
+    import gzip
+    import os
+    import time
+
+    from terrafold.llm.warc import members
+
+    def took(n):
+        block = [os.urandom(3000) for _ in range(50)]
+        parts = [block[i % 50] + str(i).encode() for i in range(n)]
+        content = b"".join(gzip.compress(x, 1) for x in parts)
+        began = time.process_time()
+        got = list(members(content))
+        assert [x for x, _ in got] == parts and all(e is None for _, e in got)
+        return time.process_time() - began
+
+    took(100)
+    few, many = took(2_000), took(20_000)
+    assert many < 30 * max(few, 0.02)
+    large = os.urandom(1 << 20) * 3
+    packed = gzip.compress(large, 1)
+    assert list(members(packed + packed)) == [(large, None)] * 2
+    assert [e for _, e in members(packed + packed[:-9])] == [None, "gzip: a member is cut off"]
+    assert [e for _, e in members(packed + b"\0" * 9)] == [None] and [e for _, e in members(packed + b"rest")][-1] == "gzip: other bytes behind a member"

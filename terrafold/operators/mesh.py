@@ -115,14 +115,15 @@ def uniform(seed: int, *keys: str | Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)) / float(1 << 53)
 
 
-def sample_on_faces(vertices: DataFrame, faces: DataFrame, per_area: float, seed: int = 0) -> DataFrame:
-    """frag, fid, k, x, y, z: points spread over faces by area, floor(per_area * area) or one more each.
+def sample_on_faces(vertices: DataFrame, faces: DataFrame, per_area: float | DataFrame, seed: int = 0) -> DataFrame:
+    """frag, fid, k, x, y, z: points spread over faces by area, floor(per_area * area) or one more each; per_area may be a table (frag, per_area).
 
     Every face draws its own number of points, so no running total over faces is
     needed; points outside the triangle (u + v > 1) are folded back.
     """
     g = face_geometry(vertices, faces).select("frag", "fid", "v0", "v1", "v2", "area")
-    want = F.col("area") * per_area
+    g = g.join(per_area, "frag") if isinstance(per_area, DataFrame) else g.withColumn("per_area", F.lit(float(per_area)))
+    want = F.col("area") * F.col("per_area")
     n = F.floor(want) + (uniform(seed, "frag", "fid") < want - F.floor(want)).cast("int")
     f = g.withColumn("n", n.cast("int")).where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     f = f.withColumn("_u", uniform(seed + 1, "frag", "fid", "k")).withColumn("_v", uniform(seed + 2, "frag", "fid", "k"))

@@ -2,10 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrafold.operators import verify
 from terrafold.params import Acceptance
-from pyspark.sql import functions as F
 
 DEPTH, STEP = 6.0, 0.2
 YS = np.linspace(0, DEPTH, 31)
@@ -100,12 +100,17 @@ def slab(spark):
     walls = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, None)], "frag long, t double")
     m = verify.measured(v, f, labels, walls, surface_samples=800)
     cand = spark.createDataFrame([(i, 0, 1, pose_of(q).ravel().tolist()) for i, q in MOVES.items()] + [(9, 0, 7, pose_of(MOVES[1]).ravel().tolist())], "cid long, a long, b long, pose array<double>")
-    rows = verify.verify(cand, m).withColumn("why", verify.refusals(Acceptance())).collect()
-    return m, cand, {r["cid"]: r for r in rows}
+    return m, cand
+
+
+@pytest.fixture(scope="module")
+def rows(slab):
+    m, cand = slab
+    return {r["cid"]: r for r in verify.verify(cand, m).withColumn("why", verify.refusals(Acceptance())).collect()}
 
 
-def test_measures_are_those_of_plain_loops(spark, slab):
-    m, _, got = slab
+def test_measures_are_those_of_plain_loops(slab, rows):
+    (m, _), got = slab, rows
     assert set(got) == set(MOVES)  # an unknown fragment gives no row
     frags = {r["frag"]: r for r in m.frags.collect()}
     assert all(r["watertight"] for r in frags.values())
@@ -163,15 +168,14 @@ def test_measures_are_those_of_plain_loops(spark, slab):
     assert got[1]["tight"] > 0.9 and got[1]["seam"] > 5 and got[1]["cont_n"] > 0.95 and got[1]["pen"] == 0
 
 
-def test_true_pose_is_accepted_and_others_say_why_not(slab):
-    rows = slab[2]
+def test_true_pose_is_accepted_and_others_say_why_not(rows):
     why = {i: [w.split(" ")[0] for w in r["why"]] for i, r in rows.items()}
     assert why[1] == [] and "penetration" in why[3] and {"tight", "gap", "seam", "normal"} <= set(why[4])
     assert "normal agreement -1.000 < 0.8" in rows[4]["why"]
 
 
-def test_early_rejection_measures_only_the_rest(slab):
-    m, cand, full = slab
+def test_early_rejection_measures_only_the_rest(slab, rows):
+    (m, cand), full = slab, rows
     got = {r["cid"]: r for r in verify.verify(cand.where("cid in (1, 4)"), m, early=0.25).withColumn("why", verify.refusals(Acceptance(), 0.25)).collect()}
     for cid, r in got.items():
         assert r["partial"] == (full[cid]["tight"] < 0.25)
@@ -183,7 +187,7 @@ def test_early_rejection_measures_only_the_rest(slab):
 
 
 def test_holes_make_penetration_unavailable_and_no_candidates_no_rows(spark, slab):
-    m, cand, _ = slab
+    m, cand = slab
     from dataclasses import replace
 
     open_ = replace(m, frags=m.frags.withColumn("watertight", F.col("frag") == 0), margin=m.margin.limit(0))

@@ -49,8 +49,8 @@ class Measured:
     margin: DataFrame
 
 
-def measured(vertices: DataFrame, faces: DataFrame, labels: DataFrame, walls: DataFrame, surface_samples: int = SURFACE_SAMPLES) -> Measured:
-    """The tables of labelled meshes: labels(frag, fid, is_fracture), walls(frag, t). Fragments without a wall over 0 are left out."""
+def measured(vertices: DataFrame, faces: DataFrame, labels: DataFrame, walls: DataFrame, surface_samples: int = SURFACE_SAMPLES, seed: int = 0) -> Measured:
+    """The tables of labelled meshes: labels(frag, fid, is_fracture), walls(frag, t). Fragments without a wall over 0 are left out; another seed draws other samples."""
     walls = walls.where("t > 0").select("frag", "t")
     faces = faces.join(walls.select("frag"), "frag", "left_semi")
     geo = face_geometry(vertices, faces).join(labels.select("frag", "fid", "is_fracture"), ["frag", "fid"])
@@ -60,7 +60,7 @@ def measured(vertices: DataFrame, faces: DataFrame, labels: DataFrame, walls: Da
     broken = faces.join(labels.where("is_fracture").select("frag", "fid"), ["frag", "fid"], "left_semi")
     n = fracture_samples(F.col("frac_area"), F.col("t"))
     on = lambda f, n, over, seed: sample_on_faces(vertices, f, frags.where(F.col(over) > 0).select("frag", (n / F.col(over)).alias("per_area")), seed).select("frag", F.struct("fid", "k").alias("vid"), *AXES)
-    fracture, surface = written(on(broken, n, "frac_area", 11)), written(on(faces, F.lit(surface_samples), "area", 17))
+    fracture, surface = written(on(broken, n, "frac_area", 11 + seed)), written(on(faces, F.lit(surface_samples), "area", 17 + seed))
     # breaklines and margins are found in walls
     v = scaled(vertices, walls)
     pts = written(face_points(v, faces).join(labels.select("frag", F.col("fid").alias("vid"), "is_fracture"), ["frag", "vid"]))

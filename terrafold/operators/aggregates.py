@@ -73,7 +73,7 @@ def leave_one_out_deviation(rows: DataFrame, key: str, ident: str, value: str, k
     spread = leave_one_out_median(spread, [key, "med"], ident, "dev", "mad")
     size = r.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("others"))
     j = r.join(spread.select(key, ident, "med", "mad"), [key, ident, "med"]).join(size, key).where(F.col("others") >= min_members)
-    times = F.abs(F.col("v") - F.col("med")) / F.greatest("mad", F.lit(least))
+    times = F.try_divide(F.abs(F.col("v") - F.col("med")), F.greatest("mad", F.lit(least)))  # null without any spread
     return j.select(key, ident, "med", "mad", times.alias("times"), (times > k).alias("deviates"))
 
 

@@ -46,7 +46,8 @@ def state_faults(tables: dict[str, DataFrame]) -> DataFrame:
     out = out.unionByName(told(cand.where("a = b"), "a candidate of one fragment", "cid"))
     if "pose" in cand.columns:
         fault = F.when(F.size("pose") == 12, rigid_fault("pose")).otherwise("not twelve numbers")
-        bad = cand.where("pose is not null").withColumn("why", fault).where("why is not null")
+        # exploded, not filtered: the expression is long, and a filter over it would be computed twice
+        bad = cand.where("pose is not null").select("cid", F.explode(F.array_compact(F.array(fault))).alias("why"))
         out = out.unionByName(bad.select(F.concat(F.lit("a pose is no motion: "), "why").alias("fault"), F.col("cid").cast("string").alias("row")))
     if "evidence" in tables:
         e = tables["evidence"]

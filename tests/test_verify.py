@@ -194,3 +194,16 @@ def test_holes_make_penetration_unavailable_and_no_candidates_no_rows(spark, sla
     r = verify.verify(cand.where("cid = 3"), open_).first()
     assert (r["pen"], r["pen_depth"], r["pen_unavailable"], r["cont_n"]) == (0.0, 0.0, True, -1.0)
     assert verify.verify(cand.limit(0), m).count() == 0
+
+
+def test_redraws_name_the_draw_that_fails(slab):
+    m, cand = slab
+    from dataclasses import replace
+
+    from terrafold.operators import probes
+    from terrafold.params import TierRule
+
+    # the second draw has no samples on the break
+    rows, held = probes.redraws(cand.where("cid in (1, 9)"), [m, replace(m, fracture=m.fracture.limit(0))], Acceptance(), TierRule(min_seam=3.0))
+    assert sorted((r["cid"], r["draw"]) for r in rows.collect()) == [(1, 1), (1, 2)]
+    assert [tuple(r) for r in held.collect()] == [(1, 1, "redraw 2: tight 0.0000 < 0.35")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.functions import poses
+
 
 def join_verdicts(joins: DataFrame, objects: DataFrame, adjacent: DataFrame) -> DataFrame:
     """joins(a, b, ...) with a verdict: unscorable (an end has no object), cross_object, non_adjacent or correct."""
@@ -65,6 +67,66 @@ def threshold_search(rows: DataFrame, tests: dict[str, list[float]], positive: C
     return e.groupBy(F.col("g.low1").alias("low1"), F.col("g.low2").alias("low2")).agg(F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("ok"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("bad"))
 
 
+def best_thresholds(rows: DataFrame, tests: dict[str, tuple[int, list[float | None]]], positive: Column, negative: Column) -> DataFrame:
+    """One row: a threshold for each test (null: the test is off), ok and bad, of the combination that passes most positive rows and no negative one; no row where none does.
+
+    tests are name: (1 for at least or -1 for at most, values). A null or NaN passes
+    only a test that is off. Of equal combinations the first in the order of the
+    tests and their values is taken. Rows are counted by how strict a value they
+    pass in each test; these counts are then summed along one test after the
+    other, so no combination ever meets a row.
+    """
+    r, order, names = rows, {}, list(tests)
+    for c, (sign, values) in tests.items():
+        # from the laxest on
+        order[c] = sorted(range(len(values)), key=lambda i: (values[i] is not None, sign * (values[i] or 0.0)))  # noqa: B023
+        holds = [F.lit(1) if values[i] is None else F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.col(c) >= values[i] if sign > 0 else F.col(c) <= values[i]), F.lit(False)).cast("int") for i in order[c]]
+        r = r.withColumn(f"_{c}", sum(holds[1:], holds[0]))
+    g = r.groupBy(*[f"_{c}" for c in names]).agg(F.count_if(positive).alias("ok"), F.count_if(negative).alias("bad"))
+    for c in names:
+        g = g.where(F.col(f"_{c}") > 0).withColumn(f"_{c}", F.explode(F.sequence(F.lit(1), F.col(f"_{c}")))).groupBy(*[f"_{k}" for k in names]).agg(F.sum("ok").alias("ok"), F.sum("bad").alias("bad"))
+    place = F.struct(*[(-F.element_at(F.array(*map(F.lit, order[c])), F.col(f"_{c}"))).alias(c) for c in names])
+    best = g.where("bad = 0").agg(F.max(F.struct("ok", place.alias("place"), "bad")).alias("m")).where("m is not null")
+    at = lambda c: F.element_at(F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in tests[c][1]]), (1 - F.col(f"m.place.{c}")).cast("int"))
+    return best.select(*[at(c).alias(c) for c in names], "m.ok", "m.bad")
+
+
+def pose_verdicts(joins: DataFrame, objects: DataFrame, truth: DataFrame, adjacent: DataFrame, centres: DataFrame, t: float, most_deg: float = 5.0, most_t: float = 0.5) -> DataFrame:
+    """joins(a, b, pose, ..) with deg, off and a verdict: cross_object, unscorable, non_adjacent, wrong_pose or correct, the first that holds.
+
+    A join between two objects is wrong whatever the poses; fragments of no object
+    are of one unknown object. truth(node, pose) says where fragments belong;
+    without both the join is unscorable. deg and off are how far the join is from
+    what they say, off at the middle centres(node, x, y, z) of the pair's larger
+    node, or at the origin. Poses take b to a; limits are most_deg and most_t walls.
+    """
+    node = lambda df, c, k: df.select(F.col("node").alias(c), F.col(k).alias(f"{k}_{c}"))
+    adj = adjacent.select(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")).distinct().withColumn("_adj", F.lit(True))
+    j = joins.withColumn("_lo", F.least("a", "b")).withColumn("_hi", F.greatest("a", "b")).withColumn("_pose", F.explode(F.array(F.when(F.col("a") > F.col("b"), poses.inverse("pose")).otherwise(F.col("pose")))))
+    where = truth.select("node", F.col("pose").alias("at"))
+    for c in ("_lo", "_hi"):
+        j = j.join(node(objects, c, "object"), c, "left").join(node(where, c, "at"), c, "left")
+    j = j.join(centres.select(F.col("node").alias("_hi"), *[F.col(c).alias(f"_{c}") for c in "xyz"]), "_hi", "left").join(adj, ["_lo", "_hi"], "left")
+    # each is exploded, not only named, or the long expressions would be written out anew wherever they are used
+    once = lambda x: F.explode(F.array(x))
+    j = j.withColumn("_back", once(poses.inverse("at__lo"))).withColumn("_said", once(poses.compose("_back", "at__hi")))
+    middle = [F.coalesce(f"_{c}", F.lit(0.0)) for c in "xyz"]
+    known = F.col("at__lo").isNotNull() & F.col("at__hi").isNotNull() & F.col("object__lo").eqNullSafe(F.col("object__hi"))
+    far = F.struct(poses.trace_deg("_pose", "_said").alias("deg"), poses.gap_at("_pose", "_said", middle).alias("off"))
+    j = j.withColumn("_far", once(F.when(known, far))).withColumn("deg", F.col("_far.deg")).withColumn("off", F.col("_far.off"))
+    right = (F.col("deg") <= most_deg) & (F.col("off") <= most_t * t)
+    verdict = F.when(~F.col("object__lo").eqNullSafe(F.col("object__hi")), "cross_object").when(~known, "unscorable").when(F.col("_adj").isNull(), "non_adjacent").when(right, "correct").otherwise("wrong_pose")
+    return j.select(*joins.columns, "deg", "off", verdict.alias("verdict"))
+
+
+def contact_areas(voxels: DataFrame, size: float = 1.0) -> DataFrame:
+    """a, b (a < b), area: how much surface two labels of voxels(label, i, j, k) share, six neighbours a voxel; a voxel has one label, null is empty."""
+    v = voxels.where("label is not null").select("label", "i", "j", "k")
+    step = F.explode(F.array(*[F.struct(*[(F.col(c) + int(c == d)).alias(c) for c in "ijk"]) for d in "ijk"])).alias("s")
+    near = v.select(F.col("label").alias("from"), step).select("from", "s.i", "s.j", "s.k").join(v, ["i", "j", "k"]).where("from != label")
+    return near.groupBy(F.least("from", "label").alias("a"), F.greatest("from", "label").alias("b")).agg((F.count(F.lit(1)) * size * size).alias("area"))
+
+
 def veto_cost(rows: DataFrame, value: str, positive: Column, factors: list[float]) -> DataFrame:
     """k, lost, caught: rows farther than k MADs from the median, by truth."""
     r = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), positive.alias("pos"))

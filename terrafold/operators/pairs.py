@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from terrafold.functions.columns import angle_deg, dot, pair_scales
 
 
-def wall_ratio_pairs(frags: DataFrame, ratio: float) -> DataFrame:
+def wall_ratio_pairs(frags: DataFrame, ratio: float, parts: int = 16) -> DataFrame:
     """a, b, ta, tb, ratio: pairs a < b whose wall thicknesses differ by ``ratio`` at most.
 
     Thickness is cut into bands of the ratio, so a pair is in the same band or
-    the next one: an equi-join finds all of them without comparing all pairs.
+    the next one: an equi-join finds all of them without comparing all pairs. One
+    band may hold nearly all fragments, so each is dealt to ``parts`` tasks on one side.
     """
     f = frags.where("t > 0").withColumn("band", F.floor(F.log("t") / F.log(F.lit(ratio))))
-    a = f.select(F.col("frag").alias("a"), F.col("t").alias("ta"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    b = f.select(F.col("frag").alias("b"), F.col("t").alias("tb"), "band")
-    j = a.join(b, "band").where(F.col("a") < F.col("b"))
+    a = f.select(F.col("frag").alias("a"), F.col("t").alias("ta"), F.pmod(F.xxhash64("frag"), F.lit(parts)).cast("int").alias("part"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    b = f.select(F.col("frag").alias("b"), F.col("t").alias("tb"), "band", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    j = a.join(b, ["band", "part"]).where(F.col("a") < F.col("b"))
     r = F.col("ta") / F.col("tb")
     return j.where((r >= 1 / ratio) & (r <= ratio)).select("a", "b", "ta", "tb", r.alias("ratio"))
 

@@ -43,12 +43,15 @@ def calibration_fold(rows: DataFrame, key: str, order: list[str], value: str) ->
     """key, n, calibrated: half of what was known and half of each new value, in order.
 
     The fold is a weighted sum with powers of two, so it is an aggregate over
-    ranks from the end; values over 60 places back weigh less than 2^-60.
+    ranks from the end; values over 60 places back weigh less than 2^-60 and are
+    not ranked.
     """
-    w = Window.partitionBy(key)
-    r = rows.where(F.col(value).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_back", F.row_number().over(w.orderBy(*[F.desc(c) for c in order])) - 1)
-    weight = F.when(F.col("_back") == F.col("_n") - 1, F.pow(F.lit(0.5), F.col("_back"))).otherwise(F.pow(F.lit(0.5), F.col("_back") + 1))
-    return r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * weight).alias("calibrated"))
+    known = rows.where(F.col(value).isNotNull())
+    n = known.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # the limit on the rank is kept before and after the shuffle, so a long history is never sorted whole in one task
+    last = known.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).where("_rank <= 61").withColumn("_back", F.col("_rank") - 1)
+    weight = F.when(F.col("_back") == F.col("n") - 1, F.pow(F.lit(0.5), F.col("_back"))).otherwise(F.pow(F.lit(0.5), F.col("_back") + 1))
+    return last.join(n, key).groupBy(key).agg(F.first("n").alias("n"), F.sum(F.col(value) * weight).alias("calibrated"))
 
 
 def derived_status(rows: DataFrame, rules: list[tuple[Column, str]], otherwise: str) -> Column:

@@ -56,6 +56,17 @@ def join_lines(joins: DataFrame) -> DataFrame:
     return j.select("a", "b", F.when(F.col("tier") == "confirmed", 0).otherwise(1).alias("band_rank"), "score", F.concat_ws(",", *parts).alias("line"))
 
 
+def matrix_text(pose: str | Column) -> Column:
+    """A pose as four lines of four numbers, as viewers of point clouds read a transformation."""
+    rows = [F.concat_ws(" ", *[python_float(F.element_at(col(pose), 4 * i + j + 1)) for j in range(4)]) for i in range(3)]
+    return F.concat_ws("\n", *rows, F.lit("0.0 0.0 0.0 1.0"))
+
+
+def write_matrices(nodes: DataFrame, path: str) -> None:
+    """The pose of each of nodes(name, pose) as a text under path/name=NAME; nodes without one have none."""
+    nodes.where("pose is not null").select("name", matrix_text("pose").alias("value")).repartition("name").write.partitionBy("name").text(path)
+
+
 def transform_lines(nodes: DataFrame) -> DataFrame:
     """node, line: nodes(node, name, source, grp, pose) as lines of transforms.csv: the group (empty without one), whether it is assembled, and sixteen numbers."""
     cells = [python_float(F.element_at("pose", i + 1)) for i in range(12)] + [F.lit(x) for x in ("0.0", "0.0", "0.0", "1.0")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -49,6 +49,38 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return poses, pairs
 
 
+def merged_truth(spark: SparkSession, parts: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """fragments(name, object, pose) and adjacency(a, b) of several objects' ground-truth files as one collection: each name begins with its object and _.
+
+    Units and wall thickness have to be the same in all (or missing in all), else a
+    ValueError names two of them.
+    """
+    fragments = adjacency = sizes = None
+    for name, path in parts.items():
+        own = lambda c: F.concat(F.lit(f"{name}_"), c)  # noqa: E731,B023
+        poses, pairs = read_ground_truth(spark, path)
+        f = poses.select(own("name").alias("name"), F.lit(name).alias("object"), "pose")
+        p = pairs.select(F.least(own("a"), own("b")).alias("a"), F.greatest(own("a"), own("b")).alias("b"))
+        head = spark.read.text(path, wholetext=True).select(F.from_json("value", "units string, wall_thickness double").alias("h")).select("h.units", "h.wall_thickness")
+        fragments, adjacency, sizes = (f, p, head) if fragments is None else (fragments.unionByName(f), adjacency.unionByName(p), sizes.unionByName(head))
+    two = sizes.distinct().take(2)
+    if len(two) > 1:
+        raise ValueError(f"{two[0]['units']}, wall {two[0]['wall_thickness']}, but {two[1]['units']}, wall {two[1]['wall_thickness']} elsewhere")
+    return fragments, adjacency
+
+
+def read_surfaces(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, x, y, z: the points of a folder's files STEM_Surface_*.xyz, of several files together; further columns and lines without three numbers are passed over."""
+    r = spark.read.option("pathGlobFilter", "*_Surface_*.xyz").text(folder).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split(F.trim("value"), r"\s+").alias("w"))
+    p = r.select(F.regexp_extract("file", r"^(.*?)_Surface_", 1).alias("stem"), *[F.get("w", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    return p.where("x is not null and y is not null and z is not null")
+
+
+def surface_stem(name: str) -> Column:
+    """A mesh's name without the ending that its surface files don't have."""
+    return F.regexp_replace(name, "(_Mesh_DS|_Mesh)$", "")
+
+
 def input_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """name, file, size, mtime_ms of the mesh files of a folder."""
     from terrafold.sources.mesh import find_meshes

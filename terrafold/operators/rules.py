@@ -38,12 +38,25 @@ def reason_parts(refused: DataFrame) -> DataFrame:
     return r.select(*[c for c in refused.columns if c != "reasons"], part(1).alias("test"), part(2).try_cast("double").alias("value"), part(3).alias("side"), part(4).cast("double").alias("bound"))
 
 
+def _row_tests(rule: TierRule) -> dict[str, Column]:
+    return {
+        "tight": _at_least("tight", rule.min_tight), "gap": _at_most("gap", rule.max_gap), "seam": _at_least("seam", rule.min_seam), "cont": _at_least("cont", rule.min_cont),
+        "pen": _at_most("pen", rule.max_pen), "slide": _at_most("slide", rule.max_slide),
+    }
+
+
+def tested(cand: DataFrame, rule: TierRule) -> DataFrame:
+    """cand with _off, a bit for each test of its own values that it fails: one number to shuffle instead of six."""
+    off = sum((F.when(ok, 0).otherwise(1 << i) for i, ok in enumerate(_row_tests(rule).values())), F.lit(0))
+    return cand.withColumn("_off", off)
+
+
 def classify(cand: DataFrame, rule: TierRule) -> DataFrame:
     """cand (with support and margin) with failed (tests that a confirmed join has to pass) and tier.
 
     A join is independent by support, or by its margin over a second placement
     that lies far enough away (moved) and, if the rule asks for it, is one that
-    was refused (rival_accepted).
+    was refused (rival_accepted). Where cand comes from tested(), its tests are read.
     """
     by_margin = F.coalesce(F.col("margin") >= rule.min_margin, F.lit(False))
     if rule.min_moved:
@@ -51,13 +64,12 @@ def classify(cand: DataFrame, rule: TierRule) -> DataFrame:
     if rule.rival_refused:
         by_margin = by_margin & F.coalesce(~F.col("rival_accepted"), F.lit(False))
     strong = (F.coalesce(F.col("support"), F.lit(0)) >= rule.min_support) | by_margin
-    tests = {
-        "tight": _at_least("tight", rule.min_tight), "gap": _at_most("gap", rule.max_gap), "seam": _at_least("seam", rule.min_seam), "cont": _at_least("cont", rule.min_cont),
-        "pen": _at_most("pen", rule.max_pen), "slide": _at_most("slide", rule.max_slide), "independent": strong,
-    }
+    cand = cand if "_off" in cand.columns else tested(cand, rule)
+    tests = {k: F.col("_off").bitwiseAND(1 << i) == 0 for i, k in enumerate(_row_tests(rule))} | {"independent": strong}
     failed = F.filter(F.array(*[F.when(~ok, F.lit(k)) for k, ok in tests.items()]), lambda x: x.isNotNull())
+    confirmed = (F.col("_off") == 0) & strong
     out = cand.withColumn("failed", failed)
-    return out.withColumn("tier", F.when(F.col("accepted") & (F.size("failed") == 0), "confirmed").when(F.col("accepted"), "probable").otherwise("rejected"))
+    return out.withColumn("tier", F.when(F.col("accepted") & confirmed, "confirmed").when(F.col("accepted"), "probable").otherwise("rejected")).drop("_off")
 
 
 def tier_rank(tier: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrafold.functions import columns as C
 from terrafold.operators import aggregates, assembly, evaluation, fits, graph, pairs, progress, ranking, rules, spatial
 from terrafold.params import Acceptance, TierRule
-from terrafold.plans.reassembly import reassembly
+from terrafold.plans.reassembly import classified_joins, reassembly, with_evidence
 from terrafold.sources.views import CANDIDATES_SQL, FRAGMENTS_SQL, POINTS_SQL, candidates, fragments, points, table
 
 QUERIES: dict = {}
@@ -230,9 +230,8 @@ def _support(best):
 def _tiered(spark, sf_dir):
     """All candidates with their tier; support and margin are those of the pair."""
     c = candidates(spark, sf_dir)
-    best = graph.written(ranking.best_per_pair(c))
-    margin = ranking.rival_margin(c, 5.0).select("a", "b", "margin", "moved", "rival_accepted")
-    return rules.classify(c.join(_support(best), ["a", "b"], "left").join(margin, ["a", "b"], "left"), TIER)
+    best = ranking.best_per_pair(c.select("a", "b", "score", "accepted", "seam", "ord")).select("a", "b", "score", "seam")
+    return with_evidence(c, c, graph.written(best), TIER, AGREE)
 
 
 @query(
@@ -248,7 +247,8 @@ def pair_representative(spark, sf_dir):
 
 @query("support_count", f"WITH {CANDIDATES_SQL}, {_BEST}, {_SUPPORT} SELECT a, b, coalesce(support, 0) AS support FROM best LEFT JOIN sup USING (a, b)")
 def support_count(spark, sf_dir):
-    return _support(graph.written(ranking.best_per_pair(candidates(spark, sf_dir))))
+    best = ranking.best_per_pair(candidates(spark, sf_dir).select("a", "b", "score", "accepted", "seam", "ord"))
+    return _support(graph.written(best.select("a", "b", "seam")))
 
 
 @query("rival_margin", f"WITH {CANDIDATES_SQL}, {_BEST}, {_RIVAL} SELECT a, b, round(best.score, 6) AS score, round(rival, 6) AS rival, round(margin, 6) AS margin, moved, rival_accepted FROM best LEFT JOIN rv USING (a, b)")
@@ -263,10 +263,7 @@ def rival_margin(spark, sf_dir):
     FROM best LEFT JOIN sup USING (a, b) LEFT JOIN rv USING (a, b)""",
 )
 def tier_classify_r1(spark, sf_dir):
-    c = candidates(spark, sf_dir)
-    best = graph.written(ranking.best_per_pair(c))
-    margin = ranking.rival_margin(c, 5.0).select("a", "b", "margin", "moved", "rival_accepted")
-    t = rules.classify(best.join(_support(best), ["a", "b"], "left").join(margin, ["a", "b"], "left"), TIER)
+    t = classified_joins(candidates(spark, sf_dir), TIER, AGREE)
     return t.select("a", "b", F.array_join("failed", ",").alias("failed"), "tier")
 
 

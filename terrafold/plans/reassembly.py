@@ -10,15 +10,23 @@ from terrafold.operators.graph import written
 from terrafold.params import TierRule
 
 
-def classified_joins(cand: DataFrame, rule: TierRule, tol: float, far: float = 5.0) -> DataFrame:
-    """Each pair's best accepted candidate with support, margin, failed and tier.
+def with_evidence(rows: DataFrame, cand: DataFrame, best: DataFrame, rule: TierRule, tol: float, far: float = 5.0) -> DataFrame:
+    """rows(a, b, ..) classified, with support and margin of their pairs; best has each pair's best accepted candidate (a, b, score, seam).
 
     All pairs' best candidates count as support, where their seams place b within tol.
     """
-    best = written(ranking.best_per_pair(cand))
     support = graph.support_counts(best.withColumn("shift", F.col("seam").cast("double")), tol)
-    margin = ranking.rival_margin(cand, far).select("a", "b", "margin", "moved", "rival_accepted")
-    return rules.classify(best.join(support, ["a", "b"], "left").join(margin, ["a", "b"], "left"), rule)
+    if rule.min_moved or rule.rival_refused:
+        margin = ranking.rival_margin(cand, far).select("a", "b", "margin", "moved", "rival_accepted")
+    else:
+        margin = ranking.margins(cand, best, far)
+    return rules.classify(rules.tested(rows, rule).join(support, ["a", "b"], "left").join(margin, ["a", "b"], "left"), rule)
+
+
+def classified_joins(cand: DataFrame, rule: TierRule, tol: float, far: float = 5.0) -> DataFrame:
+    """Each pair's best accepted candidate with support, margin, failed and tier."""
+    best = written(ranking.best_per_pair(cand))
+    return with_evidence(best, cand, best, rule, tol, far)
 
 
 def reassembly(cand: DataFrame, vetoes: DataFrame, rule: TierRule, tol: float) -> DataFrame:

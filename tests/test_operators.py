@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.functions import columns as C
-from terrafold.operators import aggregates, assembly, evaluation, fits, graph, mesh, progress, rules, spatial
+from terrafold.operators import aggregates, assembly, evaluation, fits, graph, mesh, progress, ranking, rules, spatial
 from terrafold.params import Acceptance, TierRule
 from terrafold.plans.queries import QUERIES
 from terrafold.plans.reassembly import classified_joins
@@ -236,3 +236,23 @@ def test_support_counts_every_partner_that_agrees(spark):
 def test_assembly_walks_every_pair(spark):
     pairs = candidates(spark, SF).where("accepted").select("a", "b").distinct().count()
     assert QUERIES["greedy_assembly"](spark, SF).count() == pairs
+
+
+def test_support_counts_in_many_small_blocks(spark):
+    """Bands of a few edges each, turned edges, a hub: as a loop over third nodes; rows that meet grow with the bands, not with their square."""
+    rng = random.Random(7)
+    way = {(a, b) if rng.random() < 0.5 else (b, a): rng.choice([float(rng.randint(-6, 6)), rng.uniform(-4, 4)]) for a in range(40) for b in range(a + 1, 40) if a == 0 or rng.random() < 0.2}
+    leg = lambda p, q: way.get((p, q), -way[q, p] if (q, p) in way else None)
+    e = spark.createDataFrame([(a, b, s) for (a, b), s in way.items()] + [(100, 101, None)], "a long, b long, shift double")
+    for tol in (None, 3.0):
+        agree = lambda a, x, b: None not in (leg(a, x), leg(x, b)) and (tol is None or abs(leg(a, x) + leg(x, b) - leg(a, b)) <= tol)  # noqa: E731,B023
+        want = {(a, b): sum(x not in (a, b) and agree(a, x, b) for x in range(40)) for a, b in way} | {(100, 101): 0}
+        got = {(r["a"], r["b"]): r["support"] for r in graph.support_counts(e, tol, most=16).collect()}
+        assert got == want and sum(want.values()) > 50
+
+
+def test_margins_are_those_of_rival_margin(spark):
+    cand = candidates(spark, SF)
+    best = ranking.best_per_pair(cand)
+    want = {(r["a"], r["b"]): r["margin"] for r in ranking.rival_margin(cand, 5.0).collect() if r["margin"] is not None}
+    assert {(r["a"], r["b"]): r["margin"] for r in ranking.margins(cand, best, 5.0).collect()} == want and want

@@ -29,14 +29,19 @@ def trailing_rate(events: DataFrame, key: str, ts: str, seconds: int, bucket: Co
     """key, ts, n_recent: how many events of the key fell in the last ``seconds`` up to each event.
 
     Windows run inside (key, bucket); each event is also given to the next
-    bucket, so a bucket of at least ``seconds`` sees all that it needs.
+    bucket, so a bucket of at least ``seconds`` sees all that it needs. The count is
+    that of all events so far in the bucket without those that are too old: both
+    only grow along the window, where a sliding one is counted anew for each event.
     """
     at = F.col(ts).cast("timestamp").cast("long")
     extra = extra or []
     e = events.select(key, ts, *extra, at.alias("_s"), bucket.alias("_b"))
-    shared = e.withColumn("_own", F.lit(True)).unionByName(e.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
-    w = Window.partitionBy(key, "_b").orderBy("_s").rangeBetween(-seconds, 0)
-    return shared.withColumn("n_recent", F.count(F.lit(1)).over(w)).where("_own").select(key, ts, *extra, "n_recent")
+    shared = e.withColumn("_own", F.lit(True)).unionByName(e.where("_b is not null").withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(key, "_b").orderBy("_s")
+    upto = lambda end: F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, end))
+    # events without a time are in a bucket of their own, where none is too old
+    recent = upto(0) - F.when(F.col("_s").isNull(), 0).otherwise(upto(-seconds - 1))
+    return shared.withColumn("n_recent", recent).where("_own").select(key, ts, *extra, "n_recent")
 
 
 def calibration_fold(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

@@ -256,3 +256,15 @@ def test_margins_are_those_of_rival_margin(spark):
     best = ranking.best_per_pair(cand)
     want = {(r["a"], r["b"]): r["margin"] for r in ranking.rival_margin(cand, 5.0).collect() if r["margin"] is not None}
     assert {(r["a"], r["b"]): r["margin"] for r in ranking.margins(cand, best, 5.0).collect()} == want and want
+
+
+def test_trailing_rate_grows_with_the_events_and_keeps_those_without_a_time(spark):
+    """Only frames that grow, which are counted once for each event; repeated and missing times as a loop counts them."""
+    rng = random.Random(3)
+    at = [rng.randrange(2000) for _ in range(300)] + [None] * 3
+    df = spark.createDataFrame([("k", i, t) for i, t in enumerate(at)], "k string, i int, t long").withColumn("ts", F.timestamp_seconds("t"))
+    out = progress.trailing_rate(df, "k", "ts", 300, F.floor(F.col("t") / 400), extra=["i"])
+    frames = out._jdf.queryExecution().optimizedPlan().toString().split("specifiedwindowframe(")[1:]
+    assert len(frames) >= 2 and all(f.startswith("RangeFrame, unboundedpreceding$()") for f in frames)
+    want = {i: sum(u is None for u in at) if t is None else sum(u is not None and t - 300 <= u <= t for u in at) for i, t in enumerate(at)}
+    assert {r["i"]: r["n_recent"] for r in out.collect()} == want

@@ -76,10 +76,13 @@ _near = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
     SELECT a, b, count(*) AS n_hit, count(*) FILTER (agree < -0.7) AS n_agree FROM n WHERE r = 1 GROUP BY 1, 2""",
 )
 def coarse_nn_agree(spark, sf_dir):
-    p = points(spark, sf_dir)
-    n = spatial.nearest_within(p, p, 0.05, ["frag", "vid"], "vid").where("frag != other")
-    agree = C.dot(["l.nx", "l.ny", "l.nz"], ["r.nx", "r.ny", "r.nz"])
-    return n.groupBy(F.col("frag").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("n_hit"), F.count_if(agree < -0.7).alias("n_agree"))
+    p = points(spark, sf_dir).select("frag", "vid", "x", "y", "z", "nx", "ny", "nz")
+    near = spatial.ball_join(p, p, 0.05).where("l.frag != r.frag")
+    # of each pair only what decides and what is asked for is sent on, not the points
+    agree = C.dot(["l.nx", "l.ny", "l.nz"], ["r.nx", "r.ny", "r.nz"]).alias("agree")
+    of = near.select(F.col("l.frag").alias("a"), F.col("l.vid").alias("vid"), F.col("r.frag").alias("b"), F.struct("d", F.col("r.vid").alias("vid"), agree).alias("m"))
+    n = of.groupBy("a", "vid", "b").agg(F.min("m").alias("m"))
+    return n.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_hit"), F.count_if(F.col("m.agree") < -0.7).alias("n_agree"))
 
 
 @query(

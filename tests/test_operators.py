@@ -268,3 +268,9 @@ def test_trailing_rate_grows_with_the_events_and_keeps_those_without_a_time(spar
     assert len(frames) >= 2 and all(f.startswith("RangeFrame, unboundedpreceding$()") for f in frames)
     want = {i: sum(u is None for u in at) if t is None else sum(u is not None and t - 300 <= u <= t for u in at) for i, t in enumerate(at)}
     assert {r["i"]: r["n_recent"] for r in out.collect()} == want
+
+
+def test_coarse_nn_agree_sends_no_points_on(spark):
+    """What stands for a pair of a point and a fragment is a distance, a number and an agreement, not both points."""
+    plan = QUERIES["coarse_nn_agree"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(l" not in plan and "min_by(r" not in plan
